@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe
+from textloom.llm import bpe, packing, tokenfile
 from textloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,7 +15,17 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, keep_ids=False)
 
 
+def op5_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file_digests(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
+    "op5_config_lp_packing": op5_config_lp_packing,
+    "op8_bit_packed_ids": op8_bit_packed_ids,
 }
 ORACLE_SQL: dict[str, str] = {}
