@@ -210,6 +210,7 @@ class ChunkEncoder:
         self.table = MergeTable(config)
         self.find = regex.compile(WORD_PATTERN.replace("{L}", character_class("L")).replace("{N}", character_class("N"))).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.table.special)) + ")") if self.table.special else None
+        self.marks = {t[0] for t in self.table.special}
         self.unknown = regex.compile(f"[{character_class('Cn')}]").search
         self.config, self.library = config, None
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
@@ -219,6 +220,11 @@ class ChunkEncoder:
 
     def words(self, chunk: str) -> list[bytes]:
         """The pattern's words of a chunk that holds no special token."""
+        text = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")).lower()
+        if text.isalpha():  # the usual cases need no pattern: letters, or letters and a mark
+            return [text.encode()]
+        if text[-1] in ".,;:!?|" and text[:-1].isalpha():
+            return [text[:-1].encode(), text[-1:].encode()]
         if not chunk.isascii() and self.unknown(chunk):  # newer than the interpreter's tables: ask the library
             if self.library is None:
                 from tokenizers import Tokenizer
@@ -226,15 +232,14 @@ class ChunkEncoder:
                 self.library = Tokenizer.from_str(self.config)
             shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
             return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in shown]
-        chunk = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return [w.encode() for w in self.find(chunk.lower())]
+        return [w.encode() for w in self.find(text)]
 
     def _by_trees(self, chunks: list[str]) -> list[bytes]:
         plan: list[list] = []
         fresh: dict[bytes, bytes | None] = {}
         for c in chunks:
             parts: list = []
-            for piece in self.special.split(c) if self.special else [c]:
+            for piece in [c] if self.marks.isdisjoint(c) else self.special.split(c):
                 if piece in self.table.special:
                     parts.append(np.uint32(self.table.special[piece]).astype("<u4").tobytes())
                 elif piece:
