@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, packing, tokenfile
+from textloom.llm import bpe, packing, quality_rules, tokenfile
 from textloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op5_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
+
+
 def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -26,6 +30,7 @@ def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
     "op5_config_lp_packing": op5_config_lp_packing,
+    "op7_ngram_ratio_rules": op7_ngram_ratio_rules,
     "op8_bit_packed_ids": op8_bit_packed_ids,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_ngram_ratio_rules": quality_rules.SQL}
