@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, packing, quality_rules, tokenfile, warc
+from textloom.llm import bpe, packing, pii_crf, quality_rules, tokenfile, warc
 from textloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, keep_ids=False)
 
@@ -32,6 +36,7 @@ def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_skip_chain_crf": op1_skip_chain_crf,
     "op3_bpe_codec": op3_bpe_codec,
     "op5_config_lp_packing": op5_config_lp_packing,
     "op7_ngram_ratio_rules": op7_ngram_ratio_rules,
