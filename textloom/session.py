@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -67,8 +68,16 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        schema = df.schema
         df.write.mode("overwrite").parquet(self.path(name))
-        return self.load(name, df.schema)
+        del df
+        self.release()
+        return self.load(name, schema)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps, which it does once nothing refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def load(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read
