@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, packing, pii_crf, quality_rules, tokenfile, warc
+from textloom.llm import bpe, packing, pii_crf, quality_rules, substring, tokenfile, warc
 from textloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op8_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op9_unit_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_rank")
 
@@ -41,9 +45,11 @@ QUERIES = {
     "op5_config_lp_packing": op5_config_lp_packing,
     "op7_ngram_ratio_rules": op7_ngram_ratio_rules,
     "op8_bit_packed_ids": op8_bit_packed_ids,
+    "op9_unit_hashing": op9_unit_hashing,
     "op10_warc_index_merge": op10_warc_index_merge,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_ratio_rules": quality_rules.SQL,
+    "op9_unit_hashing": substring.SQL,
     "op10_warc_index_merge": warc.SQL,
 }
