@@ -27,13 +27,14 @@ from textloom.session import ship_package
 #: Fixed by the vocabulary's own configuration: its word pattern and the marker of a word's end.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
 WORD_END = "</w>"
-#: Control characters that str.split() takes for white space and the vocabulary does not.
+#: Marks that often end a word, and control characters that str.split() takes for white space and the vocabulary does not.
+MARKS = ".,;:!?|"
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 NONE = np.iinfo(np.int64).max
 #: Words of more bytes than this are worked on one by one: few rows don't pay for numpy's calls.
 LONG_WORD = 512
 #: Chunks that a worker remembers, and tree cells it works on at once.
-CACHE_ENTRIES, CELLS = 400_000, 1 << 20
+CACHE_ENTRIES, CELLS = 1_000_000, 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -79,8 +80,8 @@ class MergeTable:
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
 
-def merge_words(table: MergeTable, words: list[bytes]) -> list[np.ndarray]:
-    """Ids of each word (not empty), by segment trees over adjacent-pair ranks."""
+def merge_words(table: MergeTable, words: list[bytes]) -> list[bytes]:
+    """Ids of each word (not empty) as little-endian 32-bit integers, by segment trees over adjacent-pair ranks."""
     out: list = [None] * len(words)
     by_size: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -97,7 +98,7 @@ def merge_words(table: MergeTable, words: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _merge_rows(table: MergeTable, words: list[bytes], k: int) -> list[np.ndarray]:
+def _merge_rows(table: MergeTable, words: list[bytes], k: int) -> list[bytes]:
     """The words have at most 2**k + 1 bytes, so that 2**k leaves hold their pairs."""
     n, rows = 1 << k, len(words)
     length = np.fromiter(map(len, words), np.int64, rows)
@@ -148,11 +149,11 @@ def _merge_rows(table: MergeTable, words: list[bytes], k: int) -> list[np.ndarra
         new = table.rank(symbol[r, p], made[has_prior])
         put(r, p, np.where(new == NONE, NONE, new * n + p))
         row = row[tree[row, 1] != NONE]
-    ids, ends = symbol[live].astype("<u4"), np.cumsum(live.sum(axis=1))
-    return np.split(ids, ends[:-1])
+    ids, ends = symbol[live].astype("<u4").tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _merge_long(table: MergeTable, word: bytes) -> np.ndarray:
+def _merge_long(table: MergeTable, word: bytes) -> bytes:
     """The same tree for one word, in plain lists."""
     raw, m = np.frombuffer(word, np.uint8), len(word)
     symbol = table.inner[raw]
@@ -195,36 +196,38 @@ def _merge_long(table: MergeTable, word: bytes) -> np.ndarray:
         if (prior := before[at]) >= 0:
             found = ranks.get(symbol[prior] << 32 | new)
             put(prior, NONE if found is None else found * n + prior)
-    return np.array([x for x in symbol if x >= 0], "<u4")
+    return np.array([x for x in symbol if x >= 0], "<u4").tobytes()
 
 
 class ChunkEncoder:
     """Texts to ids by white-space chunks, each chunk's ids remembered as little-endian 32-bit bytes.
 
-    words_to_ids: what encodes words that aren't remembered, the segment trees by default.
+    words_to_ids: what encodes the words of chunks that aren't remembered, the segment trees by default.
     """
 
-    def __init__(self, config: str, chunks_to_ids: Callable[[list[str]], list[bytes]] | None = None):
+    def __init__(self, config: str, words_to_ids: Callable[[list[bytes]], list[bytes]] | None = None):
         import regex
 
         self.table = MergeTable(config)
         self.find = regex.compile(WORD_PATTERN.replace("{L}", character_class("L")).replace("{N}", character_class("N"))).findall
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.table.special)) + ")") if self.table.special else None
-        self.marks = {t[0] for t in self.table.special}
+        self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.table.special)) + ")").split if self.table.special else None
         self.unknown = regex.compile(f"[{character_class('Cn')}]").search
         self.config, self.library = config, None
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.apart = regex.compile(r"[^\s]+").findall
         self.known: dict[str, bytes] = {}
-        self.chunks_to_ids = chunks_to_ids or self._by_trees
+        self.words_to_ids = words_to_ids or (lambda words: merge_words(self.table, words))
+
+    def chunks(self, text: str) -> list[str]:
+        """Normalised text between white space; a special token is a chunk with a space behind it."""
+        if any(t in text for t in self.table.special):
+            parts = self.cut_special(text)
+            return [c for p in parts for c in ([p + " "] if p in self.table.special else self.chunks(p))]
+        text = (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+        return text.split() if not any(c in text for c in NOT_SPACE) else self.apart(text)
 
     def words(self, chunk: str) -> list[bytes]:
-        """The pattern's words of a chunk that holds no special token."""
-        text = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")).lower()
-        if text.isalpha():  # the usual cases need no pattern: letters, or letters and a mark
-            return [text.encode()]
-        if text[-1] in ".,;:!?|" and text[:-1].isalpha():
-            return [text[:-1].encode(), text[-1:].encode()]
+        """The pattern's words of a chunk."""
         if not chunk.isascii() and self.unknown(chunk):  # newer than the interpreter's tables: ask the library
             if self.library is None:
                 from tokenizers import Tokenizer
@@ -232,43 +235,42 @@ class ChunkEncoder:
                 self.library = Tokenizer.from_str(self.config)
             shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
             return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in shown]
-        return [w.encode() for w in self.find(text)]
+        return [w.encode() for w in self.find(chunk)]
 
-    def _by_trees(self, chunks: list[str]) -> list[bytes]:
-        plan: list[list] = []
-        fresh: dict[bytes, bytes | None] = {}
+    def learn(self, chunks: list[str]) -> None:
+        """Letters alone, or letters and one mark, need no pattern; that is most chunks."""
+        known, plain, marked, other = self.known, [], [], []
         for c in chunks:
-            parts: list = []
-            for piece in [c] if self.marks.isdisjoint(c) else self.special.split(c):
-                if piece in self.table.special:
-                    parts.append(np.uint32(self.table.special[piece]).astype("<u4").tobytes())
-                elif piece:
-                    for b in self.words(piece):
-                        fresh[b] = None
-                        parts.append((b,))
-            plan.append(parts)
-        keys = list(fresh)
-        for b, ids in zip(keys, merge_words(self.table, keys), strict=True):
-            fresh[b] = ids.tobytes()
-        return [b"".join(fresh[p[0]] if isinstance(p, tuple) else p for p in parts) for parts in plan]
+            if c.isalpha():
+                plain.append(c)
+            elif c[-1] in MARKS and c[:-1].isalpha():
+                marked.append(c)
+            elif c[-1] == " ":
+                known[c] = np.array([self.table.special[c[:-1]]], "<u4").tobytes()
+            else:
+                other.append((c, self.words(c)))
+        first = [c[:-1] for c in marked]
+        plain = list(set(plain).union(set(first).difference(known)))
+        known.update(zip(plain, self.words_to_ids([w.encode() for w in plain]), strict=True))
+        rest = list({w for _, words in other for w in words}.union(map(str.encode, MARKS)))
+        ids = dict(zip(rest, self.words_to_ids(rest), strict=True))
+        mark = {m: ids[m.encode()] for m in MARKS}
+        known.update(zip(marked, [known[w] + mark[c[-1]] for c, w in zip(marked, first, strict=True)], strict=True))
+        for c, words in other:
+            known[c] = b"".join([ids[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers."""
         return self.encode_all([text])[0]
 
-    def split(self, text: str) -> list[str]:
-        return text.split() if not any(c in text for c in NOT_SPACE) else self.apart(text)
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        cut = [self.split(t) for t in texts]
-        new = set().union(*cut).difference(known)
-        new = list(new)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            known.update(zip(part, self.chunks_to_ids(part), strict=True))
+        cut = [self.chunks(t) for t in texts]
+        new = list(set().union(*cut).difference(known))
+        for at in range(0, len(new), 100_000):
+            self.learn(new[at : at + 100_000])
         get = known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -278,15 +280,30 @@ class ChunkEncoder:
 
 
 def library_encoder(config: str) -> ChunkEncoder:
-    """Ids from the tokenizers library, asked once for each chunk that isn't remembered."""
-    from tokenizers import Tokenizer
+    """Ids from the tokenizers library, asked once for each word of chunks that aren't remembered.
+
+    The words, normalised and parted already, go to its model as one text that it cuts at spaces alone; the tokens
+    that end words part them again.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
 
     library = Tokenizer.from_str(config)
+    library.normalizer = None
+    library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     library.no_truncation()
     library.no_padding()
-
-    def ask(chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
+    ends = np.array([x.endswith(WORD_END.encode()) for x in MergeTable(config).names])
+
+    def ask(words: list[bytes]) -> list[bytes]:
+        if not words:
+            return []
+        text = b" ".join(words).decode()
+        ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stop = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(stop) != len(words) or (len(ids) and stop[-1] != 4 * len(ids)):
+            return [array("I", e.ids).tobytes() for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        raw, stop = ids.tobytes(), stop.tolist()
+        return [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
 
     return ChunkEncoder(config, ask)
 
