@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, packing, pii_crf, quality_rules, substring, tokenfile, warc
+from textloom.llm import bpe, near_dup, packing, pii_crf, quality_rules, substring, tokenfile, warc
 from textloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, keep_ids=False)
 
 
+def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -42,6 +46,7 @@ def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_skip_chain_crf": op1_skip_chain_crf,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_tensored_minhash": op4_tensored_minhash,
     "op5_config_lp_packing": op5_config_lp_packing,
     "op7_ngram_ratio_rules": op7_ngram_ratio_rules,
     "op8_bit_packed_ids": op8_bit_packed_ids,
