@@ -75,7 +75,10 @@ class Workspace:
         return self.load(name, schema)
 
     def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps, which it does once nothing refers to them."""
+        """Let Spark delete the shuffle files of finished steps, which it does once nothing refers to them.
+
+        save() does so for the steps before it; its own frame is still referred to by its caller.
+        """
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
