@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, near_dup, packing, pii_crf, quality_rules, substring, tokenfile, warc
+from textloom.llm import ann, bpe, near_dup, packing, pii_crf, quality_rules, substring, tokenfile, warc
 from textloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +15,10 @@ def op1_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, keep_ids=False)
 
@@ -45,6 +49,7 @@ def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_skip_chain_crf": op1_skip_chain_crf,
+    "op2_cross_polytope": op2_cross_polytope,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_tensored_minhash": op4_tensored_minhash,
     "op5_config_lp_packing": op5_config_lp_packing,
