@@ -2,7 +2,7 @@
 
 A unit is a line of ``LINE_WORDS`` to ``WINDOW - 1`` words, or any ``WINDOW`` words in a row: passages that recur
 inside lines have no line of their own, so lines alone would miss them. Units are normalised (A-Z to a-z, white space
-between words left out), digested to 128 bits and grouped over the whole corpus; the occurrence of the least
+between words left out), digested to 96 bits and grouped over the whole corpus; the occurrence of the least
 (doc_id, place) is kept. A later line is removed. A later window is removed if its first occurrence is in another
 document, or in the same one and does not overlap it. Removed units that touch make one span of the original text.
 
@@ -131,36 +131,60 @@ def unit_keys(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(run, "key long, doc_id long, print long, again boolean")
 
 
-UNIT_SCHEMA = "kind byte, d1 long, d2 long, doc_id long, pos int, words int, start int, end int, kept_doc_id long"
+UNIT_SCHEMA = "kind byte, d1 long, d2 int, doc_id long, pos int, words int, start int, end int, kept_doc_id long"
 UNIT_NAMES = [x.split()[0] for x in UNIT_SCHEMA.split(", ")]
-LINES, WINDOWS, COPIES = 0, 1, 2
+#: Kinds of units: to be looked up by digest, or to be removed in any case.
+OPEN, GONE = 0, 1
+UNITS_AT_ONCE = 200_000
+
+
+def text_units(text: str, live: np.ndarray | None) -> list[np.ndarray]:
+    """kind, d1, d2, pos, words, start, end of the text's units with a live key; without keys, what a copy loses."""
+    t = Text(text)
+    if live is None:
+        pos, words = (np.array([0]), np.array([t.n])) if t.n >= WINDOW else (t.line_start, t.line_words)
+        kind, d1, d2 = np.full(len(pos), GONE), np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int32)
+    else:
+        line = np.flatnonzero(np.isin(t.line_keys(), live)) if len(t.line_start) else np.zeros(0, np.int64)
+        window = np.flatnonzero(np.isin(t.window_keys(), live))
+        pos, words = np.concatenate([t.line_start[line], window]), np.concatenate([t.line_words[line], np.full(len(window), WINDOW)])
+        h = t.run(pos, words)
+        h[: len(line)] ^= LINE_SALT
+        _, first, at = np.unique(h, return_index=True, return_inverse=True)
+        again = pos - pos[first][at]  # words since the unit's first occurrence in this text
+        kind = np.where(again >= np.repeat([1, WINDOW], [len(line), len(window)]), GONE, OPEN)
+        d1, d2 = h.view(np.int64), (t.run(pos, words, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    if not len(pos):
+        return []
+    at = np.array([m.span() for m in TOKEN.finditer(text)], np.int32)
+    return [kind.astype(np.int8), d1, d2, pos.astype(np.int32), words.astype(np.int32), at[pos, 0], at[pos + words - 1, 1]]
 
 
 def candidate_units(wanted: DataFrame) -> DataFrame:
     """Units of the texts (doc_id, text, keys, original): those with a wanted key, or what a copy loses at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
+            held.clear()
+            kept = pa.array(columns.pop().to_numpy())
+            return pa.RecordBatch.from_arrays([*columns, kept], names=UNIT_NAMES)
+
         for batch in batches:
             rows = zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text")), batch.column("keys"), batch.column("original").to_pylist(), strict=True)
             for doc, text, keys, original in rows:
-                t = Text(text or "")
-                if original is None:
-                    live = np.asarray(keys.values).view(np.uint64)
-                    line = np.flatnonzero(np.isin(t.line_keys(), live)) if len(t.line_start) else np.zeros(0, np.int64)
-                    window = np.flatnonzero(np.isin(t.window_keys(), live))
-                    pos, words = np.concatenate([t.line_start[line], window]), np.concatenate([t.line_words[line], np.full(len(window), WINDOW)])
-                    kind = np.repeat([LINES, WINDOWS], [len(line), len(window)])
-                    digests = [t.run(pos, words, i).view(np.int64) for i in (0, 1)]
-                else:
-                    pos, words = (np.array([0]), np.array([t.n])) if t.n >= WINDOW else (t.line_start, t.line_words)
-                    kind, digests = np.full(len(pos), COPIES), [np.zeros(len(pos), np.int64)] * 2
-                if not len(pos):
-                    continue
-                at = np.array([m.span() for m in TOKEN.finditer(text)], np.int32)
-                start, end = at[pos, 0], at[pos + words - 1, 1]
-                n = len(pos)
-                arrays = [kind.astype(np.int8), *digests, np.full(n, doc), pos.astype(np.int32), words.astype(np.int32), start, end]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array([original] * n, pa.int64())], names=UNIT_NAMES)
+                found = text_units(text, np.asarray(keys.values).view(np.uint64) if original is None else None)
+                if found:
+                    n = len(found[0])
+                    held.append([*found[:3], np.full(n, doc, np.int64), *found[3:], np.full(n, doc if original is None else original, np.int64)])
+                    size += n
+                if size >= UNITS_AT_ONCE:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
 
     return wanted.mapInArrow(run, UNIT_SCHEMA)
 
@@ -183,15 +207,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<bigint>")
     wanted = work.save(by_doc.withColumn("original", F.lit(None).cast("long")).unionByName(copies.withColumn("keys", nothing)), "wanted")
     units = work.save(candidate_units(own.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "keys", "original")), "units")
+    work.release()
     for name in ("keys", "live", "wanted"):
         work.remove(name)
     # of equal units the earliest stays
-    found = units.filter(F.col("kind") != COPIES)
-    place = F.struct("doc_id", "pos")
-    firsts = found.groupBy("kind", "d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
-    overlap = (F.col("kind") == WINDOWS) & (F.col("first.doc_id") == F.col("doc_id")) & (F.col("pos") < F.col("first.pos") + WINDOW)
-    later = found.join(firsts, ["kind", "d1", "d2"]).filter((place > F.col("first")) & ~overlap)
-    gone = later.select("doc_id", "pos", "words", "start", "end", F.col("first.doc_id").alias("kept_doc_id")).unionByName(units.filter(F.col("kind") == COPIES).select("doc_id", "pos", "words", "start", "end", "kept_doc_id"))
+    found = units.filter(F.col("kind") == OPEN)
+    firsts = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    place = ["doc_id", "pos", "words", "start", "end"]
+    later = found.select("d1", "d2", *place).join(firsts, ["d1", "d2"]).filter("doc_id > first").select(*place, F.col("first").alias("kept_doc_id"))
+    gone = later.unionByName(units.filter(F.col("kind") == GONE).select(*place, "kept_doc_id"))
     # units that touch make one span
     by_place = Window.partitionBy("doc_id").orderBy("pos", "words")
     reach = F.max(F.col("pos") + F.col("words")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
@@ -233,8 +257,9 @@ a AS (SELECT doc_id, list(x ORDER BY pos) AS xs, list(s ORDER BY pos) AS ss, lis
 i AS (SELECT doc_id, xs, ss, es, unnest(range(1, len(xs) - {WINDOW - 2})) AS k FROM a WHERE len(xs) >= {WINDOW}),
 v AS (SELECT 1 AS kind, doc_id, k - 1 AS pos, {WINDOW} AS words, ss[k] AS s, es[k + {WINDOW - 1}] AS e, md5(array_to_string(xs[k:k + {WINDOW - 1}], ' ')) AS g FROM i),
 u AS (SELECT * FROM l UNION ALL SELECT * FROM v),
-f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(pos) OVER o AS fp FROM u WINDOW o AS (PARTITION BY kind, g ORDER BY doc_id, pos)),
-z AS (SELECT * FROM f WHERE (doc_id, pos) <> (fd, fp) AND NOT (kind = 1 AND fd = doc_id AND pos < fp + {WINDOW})),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY kind, g) AS fd FROM u),
+y AS (SELECT *, pos - min(pos) OVER (PARTITION BY kind, g, doc_id) >= CASE kind WHEN 0 THEN 1 ELSE {WINDOW} END AS again FROM f),
+z AS (SELECT * REPLACE (CASE WHEN again THEN doc_id ELSE fd END AS fd) FROM y WHERE again OR fd <> doc_id),
 m AS (SELECT *, max(pos + words) OVER (PARTITION BY doc_id ORDER BY pos, words ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM z),
 k AS (SELECT *, sum(CASE WHEN pos <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos, words ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT doc_id, min(s)::BIGINT AS start, max(e)::BIGINT AS "end", (max(pos + words) - min(pos))::BIGINT AS words,
