@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import pick, slices, strings
+from textloom.llm.common import pick, text_slices
 from textloom.session import ship_package
 
 #: Fixed by the vocabulary's own configuration: its word pattern and the marker of a word's end.
@@ -337,9 +337,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(config)
         for batch in batches:
-            texts = strings(batch.column("text"))
-            for a, b in slices(texts):
-                coded = coder.encode_all(texts[a:b])
+            for a, b, texts in text_slices(batch.column("text")):
+                coded = coder.encode_all(texts)
                 shown = [coder.decode(x) for x in coded]
                 columns = {
                     "doc_id": batch.column("doc_id")[a:b],

@@ -6,34 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z and nothing else, on UTF-8 bytes.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Characters of text that one step holds as Python objects.
-STEP_CHARS = 2_000_000
+#: Bytes of text that one step holds as Python objects.
+STEP_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def strings(column: pa.Array) -> list[str]:
-    """Texts of an Arrow column; null is the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def text_slices(column: pa.Array, step: int = STEP_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """First row, row after the last, and texts of runs of rows of about ``step`` bytes; a null text is empty.
 
-
-def slices(texts: list[str], step: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of neighbouring texts of about ``step`` characters, to bound the objects held at once."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 64
-        if size >= step:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    Only one run at a time becomes Python objects.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + step, side="right")))
+        yield start, end, [x or "" for x in column.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -50,7 +47,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept up to a bound of entries; past it the store starts anew."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         import xxhash
 
         self.hash, self.bound, self.known = xxhash.xxh3_64_intdigest, bound, {}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ASCII_LOWER, mix64, pick, slices, strings, word_hashes
+from textloom.llm.common import ASCII_LOWER, mix64, pick, text_slices, word_hashes
 from textloom.session import Workspace, ship_package
 
 SHINGLE, HALVES, CENTRES, SHARE = 5, 14, 3, 75
@@ -57,9 +57,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column("text"))
-            for a, b in slices(texts):
-                sets = [shingles(t) for t in texts[a:b]]
+            for a, b, texts in text_slices(batch.column("text")):
+                sets = [shingles(t) for t in texts]
                 n = np.array([len(s) for s in sets], np.int64)
                 some = n > 0
                 starts = (np.cumsum(n) - n)[some]
@@ -192,9 +191,8 @@ def full_sets(wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column("text"))
-            for a, b in slices(texts):
-                sets = pa.array([shingles(t).tobytes() for t in texts[a:b]], pa.binary())
+            for a, b, texts in text_slices(batch.column("text")):
+                sets = pa.array([shingles(t).tobytes() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(n)[a:b] for n in names), sets], names=[*names, "set"])
 
     return wanted.mapInArrow(run, ", ".join(f"{n} {wanted.schema[n].dataType.simpleString()}" for n in names) + ", set binary")

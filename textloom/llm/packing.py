@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import encoder, vocabulary
-from textloom.llm.common import pick, slices, strings
+from textloom.llm.common import pick, text_slices
 from textloom.session import Workspace, ship_package
 
 CAPACITY, END_ID = 2048, 0
@@ -197,10 +197,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame
         coder, part = encoder(config, library=True), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
-            texts, ids = strings(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
+            ids = batch.column("doc_id").to_pylist()
+            for a, b, texts in text_slices(batch.column("text")):
                 rows = []
-                for doc, coded in zip(ids[a:b], coder.encode_all(texts[a:b]), strict=True):
+                for doc, coded in zip(ids[a:b], coder.encode_all(texts), strict=True):
                     coded += end
                     for piece, start in enumerate(range(0, len(coded), 4 * capacity)):
                         own = coded[start : start + 4 * capacity]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick, slices, strings
+from textloom.llm.common import pick, text_slices
 from textloom.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
@@ -248,9 +248,8 @@ def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column("text"))
-            for a, b in slices(texts):
-                found = all_spans(model, texts[a:b])
+            for a, b, texts in text_slices(batch.column("text")):
+                found = all_spans(model, texts)
                 counts = [[sum(s[1] == k for s in base) for base, _ in found] for k in range(len(KINDS))]
                 sums = [hashlib.sha256(shown(base).encode()).hexdigest() for base, _ in found]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], *(pa.array(c, pa.int64()) for c in counts), pa.array(sums), pa.array([shown(s) for _, s in found])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
@@ -275,14 +274,13 @@ def redact_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, new = batch.column("text").to_pylist(), []
-            for a, b in slices([t or "" for t in texts]):
-                for t, (_, spans) in zip(texts[a:b], all_spans(model, [t or "" for t in texts[a:b]]), strict=True):
-                    new.append(redact(t, spans) if spans else t)
-            columns = list(batch.columns)
-            columns[names.index("text")] = pa.array(new, pa.string())
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for a, b, texts in text_slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                null, columns = part.column("text").is_null().to_pylist(), list(part.columns)
+                new = [None if x else redact(t, spans) for t, x, (_, spans) in zip(texts, null, all_spans(model, texts), strict=True)]
+                columns[names.index("text")] = pa.array(new, pa.string())
+                if "n_chars" in names:
+                    columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(batch.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick, slices, strings, word_hashes
+from textloom.llm.common import pick, text_slices, word_hashes
 from textloom.session import ship_package
 
 BUCKETS, THRESHOLD, MIN_WORDS = 65521, -0.5, 50
@@ -74,14 +74,16 @@ def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, good in zip(strings(batch.column("text")), batch.column("trusted").to_pylist(), strict=True):
-                n = np.bincount(trigram_buckets(text), minlength=BUCKETS) if len(text) > BUCKETS // 8 else None
-                at = None if n is not None else np.unique(trigram_buckets(text), return_counts=True)
-                for total in (raw, target) if good else (raw,):
-                    if n is not None:
-                        total += n
-                    else:
-                        total[at[0]] += at[1]
+            trusted = batch.column("trusted").to_pylist()
+            for a, b, texts in text_slices(batch.column("text")):
+                for text, good in zip(texts, trusted[a:b], strict=True):
+                    n = np.bincount(trigram_buckets(text), minlength=BUCKETS) if len(text) > BUCKETS // 8 else None
+                    at = None if n is not None else np.unique(trigram_buckets(text), return_counts=True)
+                    for total in (raw, target) if good else (raw,):
+                        if n is not None:
+                            total += n
+                        else:
+                            total[at[0]] += at[1]
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
@@ -106,10 +108,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_columns: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = strings(batch.column("text")), batch.column("doc_id")
-            for a, b in slices(texts):
+            ids = batch.column("doc_id")
+            for a, b, texts in text_slices(batch.column("text")):
                 rows = []
-                for text in texts[a:b]:
+                for text in texts:
                     n = base_counts(text)
                     failed = n[0] < MIN_WORDS or 100 * n[4] > 50 * n[0]
                     at = trigram_buckets(text)

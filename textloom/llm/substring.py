@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ASCII_LOWER, mix64, pick, slices, strings, word_hashes
+from textloom.llm.common import ASCII_LOWER, mix64, pick, text_slices, word_hashes
 from textloom.session import Workspace, ship_package
 
 WINDOW, LINE_WORDS, GRAM = 50, 10, 12
@@ -121,9 +121,9 @@ def unit_keys(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids, prints = strings(batch.column("text")), batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("print").to_numpy(zero_copy_only=False)
-            for a, b in slices(texts):
-                found = [Text(t).keys() for t in texts[a:b]]
+            ids, prints = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("doc_id", "print"))
+            for a, b, texts in text_slices(batch.column("text")):
+                found = [Text(t).keys() for t in texts]
                 n = [len(k) for k, _ in found]
                 keys = np.concatenate([k for k, _ in found]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[a:b], n)), pa.array(np.repeat(prints[a:b], n)), pa.array(np.concatenate([x for _, x in found]))], names=["key", "doc_id", "print", "again"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import encoder, vocabulary
-from textloom.llm.common import pick, slices, strings
+from textloom.llm.common import pick, text_slices
 from textloom.session import Workspace, ship_package
 
 MAGIC, END_ID = b"TLBITS01", 1
@@ -127,9 +127,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 
         size = 0
         for batch in batches:
-            texts, ids = strings(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
-                for doc, coded in zip(ids[a:b], coder.encode_all(texts[a:b]), strict=True):
+            ids = batch.column("doc_id").to_pylist()
+            for a, b, texts in text_slices(batch.column("text")):
+                for doc, coded in zip(ids[a:b], coder.encode_all(texts), strict=True):
                     names.append(NULL_DOC if doc is None else doc)
                     held.append(coded + end)
                     size += len(coded) // 4 + 1
