@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import ann, bpe, near_dup, packing, pii_crf, quality_rules, substring, tokenfile, warc
+from textloom.llm import ann, bpe, cotrain, near_dup, packing, pii_crf, quality_rules, substring, tokenfile, warc
 from textloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op5_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_tensored_minhash": op4_tensored_minhash,
     "op5_config_lp_packing": op5_config_lp_packing,
+    "op6_co_training": op6_co_training,
     "op7_ngram_ratio_rules": op7_ngram_ratio_rules,
     "op8_bit_packed_ids": op8_bit_packed_ids,
     "op9_unit_hashing": op9_unit_hashing,
