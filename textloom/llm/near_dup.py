@@ -198,11 +198,11 @@ def full_sets(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, ", ".join(f"{n} {wanted.schema[n].dataType.simpleString()}" for n in names) + ", set binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row."""
+def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row; it reads tables of ``work``."""
     spark = docs.sparkSession
     ship_package(spark)
-    work = Workspace(spark, "near-dup")
+    work = work or Workspace(spark, "near-dup")
     own = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "text")
     marked = work.save(signatures(own), "signatures")
     grouped = marked.filter("n > 0").groupBy("s1", "s2", "n")
@@ -228,6 +228,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of the least doc_id, with the columns it came with."""
-    work = Workspace(docs.sparkSession, "near-dup-kept")
-    gone = work.save(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
+    work, own = (Workspace(docs.sparkSession, n) for n in ("near-dup-kept", "near-dup"))
+    gone = work.save(near_duplicates(docs, own).filter("not kept").select("doc_id").distinct(), "gone")
+    own.remove("")
+    work.release()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.schema.names])

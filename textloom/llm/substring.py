@@ -189,11 +189,11 @@ def candidate_units(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, UNIT_SCHEMA)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(doc_id, start, end, words, kept_doc_id): what to remove; kept_doc_id holds an earlier occurrence of part of it, or all of a copy."""
     spark = docs.sparkSession
     ship_package(spark)
-    work = Workspace(spark, "substring")
+    work = work or Workspace(spark, "substring")
     own = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "text").filter("text is not null")
     # copies: every text but the first of its kind
     prints = own.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("whole"))
@@ -230,8 +230,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows with repeated spans cut out of their texts and n_chars brought up to date; emptied documents go."""
     spark, names = docs.sparkSession, docs.schema.names
-    work = Workspace(spark, "substring-cut")
-    spans = work.save(repeated_spans(docs).groupBy(F.coalesce("doc_id", F.lit(LEAST)).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut_spans")), "spans")
+    work, inner = (Workspace(spark, n) for n in ("substring-cut", "substring"))
+    spans = work.save(repeated_spans(docs, inner).groupBy(F.coalesce("doc_id", F.lit(LEAST)).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut_spans")), "spans")
+    inner.remove("")
+    work.release()
     joined = docs.withColumn("_cut_id", F.coalesce("doc_id", F.lit(LEAST))).join(spans.hint("shuffle_hash"), "_cut_id", "left").select(*[F.col(f"`{n}`") for n in names], "_cut_spans")
     # text between spans, put together by the JVM
     gaps = F.zip_with(
