@@ -327,3 +327,44 @@ def two_model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = positions(spark, sf_dir).withColumnRenamed("logits", "observer").withColumn("performer", F.reverse("observer"))
     names = ("score_obs_raw", "score_perf_raw", "obs_ppl_nll_mean", "perf_ppl_nll_mean", "xent_mean", "threshold")
     return logits.two_model_scores(both, PAD).select("seq_id", *map(rounded, names))
+
+
+# Files, scorers, streams --------------------------------------------------------------------------------------------
+def scored(spark: SparkSession, sf_dir: str) -> tuple:
+    from textloom.operators import scoring
+
+    pair, single = scoring.byte_scorers(table(spark, sf_dir, "documents"))
+    return scoring, pair, single, windows(spark, sf_dir)
+
+
+@query()
+def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logit features of each window under a byte-pair model counted over all documents."""
+    scoring, pair, _, prepared = scored(spark, sf_dir)
+    rows = scoring.logits_features(prepared, pair, f"pair:{sf_dir}")
+    return rows.select("seq", "meta.window_index", *[rounded(f"logits_features.{n}") for n in logits.SUMMARY], "logits_features.n_tokens")
+
+
+@query()
+def two_model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-model features of each window, means by document."""
+    scoring, pair, single, prepared = scored(spark, sf_dir)
+    rows = scoring.two_model_features(prepared, pair, single, scoring.TwoModelOptions(f"pair:{sf_dir}", f"single:{sf_dir}"))
+    done = aggregate.aggregate_documents(rows, "binoculars_features")
+    return done.select("meta.text_id", *[rounded(f"binoculars_features.mean_{n}") for n in ("score_obs_raw", "score_perf_raw", "xent_mean", "threshold")])
+
+
+Q_JSON = f"WITH RECURSIVE {Q_WINDOWS} SELECT text_id, window_index, label, sha1(text) AS window_text_id, length(text)::BIGINT AS n FROM wd"
+
+
+@query(Q_JSON)
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared windows written as lines of JSON and read back."""
+    from textloom.session import Workspace
+    from textloom.sources.readers import read_jsonl
+    from textloom.sources.writers import write_jsonl
+
+    work = Workspace(spark, "jsonl")
+    write_jsonl(windows(spark, sf_dir), work.path("prepared"))
+    rows = read_jsonl(spark, work.path("prepared"))
+    return rows.select("meta.text_id", "meta.window_index", "label", tx.text_id(F.col("text")).alias("window_text_id"), F.length("text").cast("long").alias("n"))
