@@ -75,3 +75,11 @@ def word_hashes() -> WordHashes:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so extra columns with any name do no harm."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {n.lower() for n in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

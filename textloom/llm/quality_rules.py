@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick, text_slices, word_hashes
+from textloom.llm.common import free_name, pick, text_slices, word_hashes
 from textloom.session import ship_package
 
 BUCKETS, THRESHOLD, MIN_WORDS = 65521, -0.5, 50
@@ -101,10 +101,10 @@ def ratio_table(counts: DataFrame) -> np.ndarray | None:
     return np.log((target + 1) / (raw * (target.sum() / raw.sum()) + 1))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> DataFrame:
-    """The rules' columns for each document; with keep_columns, its own ones under their names and the rules' as a struct."""
+def score_documents(docs: DataFrame, labels: DataFrame, struct: str = "") -> DataFrame:
+    """The rules' columns for each document; with ``struct``, its own columns and the rules' as a struct of that name."""
     ratio = ratio_table(bucket_counts(docs, labels))
-    own = docs.schema.names if keep_columns else []
+    own = docs.schema.names if struct else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +120,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_columns: bool = Fal
                 names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
                 columns = [pa.array(c) for c in zip(*rows, strict=True)]
                 if own:
-                    yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns), pa.StructArray.from_arrays(columns, names)], names=[*own, "rules"])
+                    yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns), pa.StructArray.from_arrays(columns, names)], names=[*own, struct])
                 else:
                     yield pa.RecordBatch.from_arrays([ids[a:b], *columns], names=["doc_id", *names])
 
@@ -128,14 +128,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_columns: bool = Fal
         from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
         rules = _parse_datatype_string(RULES)
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("rules", StructType(rules.fields[1:]))]))
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(struct, StructType(rules.fields[1:]))]))
     return pick(docs, "doc_id", "text").mapInArrow(run, RULES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    names = docs.schema.names
-    return score_documents(docs, labels, keep_columns=True).filter("rules.kept").select(*[F.col(f"`{n}`") for n in names])
+    rules = free_name(docs, "rules")
+    return score_documents(docs, labels, rules).filter(F.col(rules).getField("kept")).select(*[F.col(f"`{n}`") for n in docs.schema.names])
 
 
 SQL = f"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ASCII_LOWER, mix64, pick, text_slices, word_hashes
+from textloom.llm.common import ASCII_LOWER, free_name, mix64, pick, text_slices, word_hashes
 from textloom.session import Workspace, ship_package
 
 WINDOW, LINE_WORDS, GRAM = 50, 10, 12
@@ -231,17 +231,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows with repeated spans cut out of their texts and n_chars brought up to date; emptied documents go."""
     spark, names = docs.sparkSession, docs.schema.names
     work, inner = (Workspace(spark, n) for n in ("substring-cut", "substring"))
-    spans = work.save(repeated_spans(docs, inner).groupBy(F.coalesce("doc_id", F.lit(LEAST)).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut_spans")), "spans")
+    key, cuts, left = (free_name(docs, n) for n in ("cut_id", "cut_spans", "cut_text"))
+    by_doc = repeated_spans(docs, inner).groupBy(F.coalesce("doc_id", F.lit(LEAST)).alias(key))
+    spans = work.save(by_doc.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts)), "spans")
     inner.remove("")
     work.release()
-    joined = docs.withColumn("_cut_id", F.coalesce("doc_id", F.lit(LEAST))).join(spans.hint("shuffle_hash"), "_cut_id", "left").select(*[F.col(f"`{n}`") for n in names], "_cut_spans")
+    joined = docs.withColumn(key, F.coalesce("doc_id", F.lit(LEAST))).join(spans.hint("shuffle_hash"), key, "left")
     # text between spans, put together by the JVM
-    gaps = F.zip_with(
-        F.concat(F.array(F.lit(0).cast("long")), F.col("_cut_spans.end")), F.concat(F.col("_cut_spans.start"), F.array(F.length("text").cast("long"))), lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
-    )
-    cut = F.when(F.col("_cut_spans").isNull(), F.col("text")).otherwise(F.concat_ws("", gaps))
-    out = joined.withColumn("_cut_text", cut).filter(F.col("_cut_spans").isNull() | F.col("_cut_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = {"text": F.col("_cut_text")} | ({"n_chars": F.length("_cut_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col(cuts).getField("end"))
+    ends = F.concat(F.col(cuts).getField("start"), F.array(F.length("text").cast("long")))
+    gaps = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
+    cut = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.concat_ws("", gaps))
+    out = joined.withColumn(left, cut).filter(F.col(cuts).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
+    columns = {"text": F.col(left)} | ({"n_chars": F.length(left).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return out.select(*[columns.get(n, F.col(f"`{n}`")).alias(n) for n in names])
 
 
