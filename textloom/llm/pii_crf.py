@@ -204,10 +204,13 @@ def fit(texts: list[str]) -> Model:
 
 
 def fit_on(docs: DataFrame) -> Model:
+    """Fit on the sample: the first usable documents by hash of their id, chosen by id alone before texts are fetched."""
     ship_package(docs.sparkSession)
-    usable = pick(docs, "doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
-    rows = usable.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS).collect()
-    return fit([r["text"] for r in rows])
+    usable = pick(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
+    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    own = usable.join(F.broadcast(chosen.distinct()), "doc_id").select("text").distinct()  # at most TRAIN_DOCS ids
+    rows = own.orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS).collect()
+    return fit(sorted(r["text"] for r in rows))
 
 
 def all_spans(model: Model, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
