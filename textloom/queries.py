@@ -13,7 +13,7 @@ from textloom.operators import aggregate, heuristics, logits, prepare
 
 #: Window budget, overlap and least length of the queries.
 BUDGET, OVERLAP, LEAST = 256, 16, 80
-SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = tx.SPACE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
