@@ -30,6 +30,8 @@ from textloom.session import Workspace, ship_package
 CAPACITY, END_ID = 2048, 0
 #: Tokens in a length class, rate of the weights, rounds at most, and times each class is to be covered.
 GRAIN, RATE, ROUNDS, COVERS = 8, 0.25, 2500, 6.0
+#: Share of all tokens, in the shortest pieces, that the program leaves to best fit: they fill what classes leave over.
+FILLERS = 0.1
 
 
 def best_configuration(value: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -90,19 +92,27 @@ class Plan:
         slots = capacity // grain
         demand = np.zeros(slots + 1, np.int64)
         runs: dict[int, list[list[int]]] = {}  # of each class: [length, count], longest last
+        short, most = 0, FILLERS * sum(n * c for n, c in left.items())
+        fillers = []
         for n in sorted(left):
-            k = -(-n // grain)
-            if k <= slots:
+            k, short = -(-n // grain), short + n * left[n]
+            if short <= most:
+                fillers.append((n, left[n]))
+            elif k <= slots:
                 demand[k] += left[n]
                 runs.setdefault(k, []).append([n, left[n]])
         for counts, x in fractional_cover(demand, slots):
+            counts = counts.copy()
             inside = np.flatnonzero(counts)
+            if counts.sum() > 1:  # best fit finds the exact length for the least piece's place
+                counts[inside[0]] -= 1
+                inside = np.flatnonzero(counts)
             times = min(int(x + 0.5), *(int(demand[k] // counts[k]) for k in inside))
             if times > 0:
                 for k in inside:
                     demand[k] -= times * counts[k]
                 self._fill([k for k in inside for _ in range(counts[k])], times, runs)
-        rest = [(n, c) for part in runs.values() for n, c in part if c] + [(n, c) for n, c in left.items() if -(-n // grain) > slots]
+        rest = [(n, c) for part in runs.values() for n, c in part if c] + fillers + [(n, c) for n, c in left.items() if -(-n // grain) > slots]
         self._best_fit(sorted(rest, reverse=True))
 
     def _fill(self, classes: list[int], times: int, runs: dict[int, list[list[int]]]) -> None:

@@ -140,7 +140,7 @@ class Model:
 
     def marginals(self, g: Graph) -> np.ndarray:
         """Loopy sum-product in the log domain, with damping; observed nodes are clamped."""
-        n, k = len(g.doc), len(KINDS) + 1
+        k = len(KINDS) + 1
         unary = self.weights[np.array(g.features)].sum(axis=1)
         seen = np.array(g.seen)
         for j in np.flatnonzero(seen >= 0):
