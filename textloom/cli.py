@@ -48,7 +48,8 @@ def get_text(spark: SparkSession, a: argparse.Namespace) -> None:
         for row in files.select("text").toLocalIterator():
             print(row["text"])
         return
-    out = a.output_path or os.path.splitext(a.input_path)[0] + "_text.txt"
+    stem, kind = os.path.splitext(a.input_path)
+    out = a.output_path or stem + ("_text.txt" if kind.lower() == ".txt" else ".txt")  # never over the input
     found = files.select("text").limit(2).collect()
     if len(found) == 1:
         put(spark, out, found[0]["text"])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.functions.text import estimated_tokens, normalize_text, packing_sentences, paragraphs, strip, tail, text_id, text_or_empty
@@ -78,13 +78,16 @@ def split_into_windows(df: DataFrame, most: int, overlap: int = 0, text: str = "
     return full.drop("_normal", "_packed")
 
 
-def prepare(df: DataFrame, options: PrepareOptions | None = None) -> DataFrame:
-    """Prepared examples; short texts are left out."""
+def prepare(df: DataFrame, options: PrepareOptions | None = None, observation: Observation | None = None) -> DataFrame:
+    """Prepared examples; short texts are left out. ``observation`` learns how many: examples, dropped."""
     o = options or PrepareOptions()
     own = examples(df)
     text = normalize_text(F.col("text")) if o.normalize else text_or_empty(F.col("text"))
     kept = own.withColumn("text", text).withColumn("_normal", normalize_text(F.col("text")))
-    kept = kept.filter(keep_text(F.col("_normal"), o.min_estimated_tokens))
+    keep = keep_text(F.col("_normal"), o.min_estimated_tokens)
+    if observation is not None:
+        kept = kept.observe(observation, F.count("*").alias("examples"), F.count_if(~keep).alias("dropped"))
+    kept = kept.filter(keep)
     base = [text_id(F.col("text")).alias("text_id"), estimated_tokens(F.col("text")).alias("estimated_tokens")]
     if o.max_estimated_tokens is None:
         none = [F.lit(None).cast("int").alias("window_index"), F.lit(None).cast("string").alias("window_text_id"), F.lit(None).cast("int").alias("window_estimated_tokens")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import stats
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """One row group of a small file is one task; heavy text work wants more."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def paragraphed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +201,15 @@ def prepare_overlapping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(spark, sf_dir, OVERLAP).select("seq", "meta.text_id", "meta.window_index", "meta.window_text_id", "meta.window_estimated_tokens")
 
 
+@query(f"SELECT count(*) AS examples, count(*) FILTER (NOT (n <> '' AND {q_tokens('n')} >= {LEAST})) AS dropped FROM (SELECT {q_normal('text')} AS n FROM documents)")
+def dropped_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many examples there were and how many were too short, observed while they are prepared."""
+    seen = Observation()
+    docs = spread(table(spark, sf_dir, "documents").select("text", F.col("doc_id").alias("seq")))
+    prepare.prepare(docs, prepare.PrepareOptions(min_estimated_tokens=LEAST), seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["examples"], seen.get["dropped"])], "examples long, dropped long")
+
+
 @query(f"WITH {Q_EXAMPLES} SELECT seq, label, sha1(n) AS text_id, {q_tokens('n')} AS estimated_tokens FROM (SELECT seq, label, {q_normal('text')} AS n FROM ex) WHERE n <> '' AND {q_tokens('n')} >= {LEAST}")
 def prepare_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = prepare.prepare(paragraphed(spark, sf_dir), prepare.PrepareOptions(normalize=True))
@@ -216,12 +225,6 @@ def joined_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("seq", tx.text_id(F.array_join("windows", SEPARATOR)).alias("joined_id"), F.size("windows").cast("long").alias("n"))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY conv_id")
-def joined_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"), F.count("*").alias("n")).select("conv_id", F.array_join("t.text", "\n\n").alias("text"), "n")
-
-
 # Features -----------------------------------------------------------------------------------------------------------
 INTS = ("longest_repeat_ngram", "n_sentences", "n_words", "n_chars")
 Q_ROUND = ", ".join(f"{n}::INT AS {n}" if n in INTS else f"round({n}, {DECIMALS}) AS {n}" for n in heuristics.FEATURES)
