@@ -1,5 +1,6 @@
 """Operators against brute-force versions, on odd tables and on small ones."""
 
+import io
 import itertools
 import random
 import re
@@ -377,4 +378,10 @@ def test_archives(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
     assert warc.url_key("http://www.B.org:80/x?q#f") == "org,b)/x?q"
     with pytest.raises(ValueError):
-        list(warc.parse(warc.record(1, None, "abc", None).replace("abc", "abd").encode() + b"\r\n\r\n"))
+        list(warc.parse(io.BytesIO(warc.record(1, None, "abc", None).replace("abc", "abd").encode() + b"\r\n\r\n")))
+    whole = (warc.record(1, None, "abc", None) + warc.END + warc.record(2, "http://a.b/", "abc", 1) + warc.END).encode()
+    found = list(warc.parse(io.BytesIO(whole)))
+    assert [(h["WARC-Type"], p) for _, _, h, p in found] == [("response", b"abc"), ("revisit", b"")]
+    assert all(whole[o : o + n].startswith(b"WARC/1.1") and whole[o + n : o + n + 4] == b"\r\n\r\n" for o, n, _, _ in found)
+    with pytest.raises(ValueError):
+        list(warc.parse(io.BytesIO(whole[:-9])))

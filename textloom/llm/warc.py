@@ -18,6 +18,7 @@ import gzip
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,7 +33,7 @@ VERSION, END, REVISIT = "WARC/1.1", "\r\n\r\n", "http://netpreserve.org/warc/1.1
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Seconds since 1970 of the capture of page 0; page n is n seconds later.
 CAPTURE_EPOCH = 1_704_067_200
-RECORDS_IN_FILE = 20_000
+RECORDS_IN_FILE = 5_000
 URL = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)", re.S)
 
 
@@ -69,22 +70,31 @@ def date(page_id: int | None) -> str:
     return at.strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, payload) of each record; raises on a malformed one or a digest that differs."""
+def parse(stream: BinaryIO) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers, payload) of each record; raises on a malformed one or a digest that differs.
+
+    One record is held at a time, whatever the length of the archive.
+    """
     at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        first, *rest = data[at:head].decode().split("\r\n")
-        if first != VERSION:
+    while first := stream.readline():
+        if first != f"{VERSION}\r\n".encode():
             raise ValueError(f"no record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in rest)
-        start, n = head + 4, int(headers["Content-Length"])
-        block = data[start : start + n]
+        size, headers = len(first), {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n") or b": " not in line:
+                raise ValueError(f"malformed header after byte {at}")
+            size += len(line)
+            name, value = line[:-2].decode().split(": ", 1)
+            headers[name] = value
+        n = int(headers["Content-Length"])
+        block = stream.read(n)
+        if len(block) != n or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record at byte {at} is cut short")
         payload = block[block.index(b"\r\n\r\n") + 4 :]
         if headers["WARC-Type"] == "response" and "sha1:" + digest(payload) != headers["WARC-Payload-Digest"]:
             raise ValueError(f"payload digest differs at byte {at}")
-        yield at, n, headers, payload
-        at = start + n + 4
+        yield at, size + 2 + n, headers, payload
+        at += size + 2 + n + 4
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -128,7 +138,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 name = batch.column("path")[i].as_py().rsplit("/", 1)[-1]
                 rows = []
-                for offset, length, h, payload in parse(gzip.decompress(batch.column("content")[i].as_buffer())):
+                for offset, length, h, payload in parse(gzip.GzipFile(fileobj=pa.BufferReader(batch.column("content")[i].as_buffer()))):
                     size = len(payload) if h["WARC-Type"] == "response" else int(h["X-Payload-Length"])
                     refers = number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None
                     rows.append((name, 0, url_key(h.get("WARC-Target-URI")), h["WARC-Date"], number(h["WARC-Record-ID"]), size, h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], refers, offset, length))
