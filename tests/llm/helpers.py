@@ -1,11 +1,14 @@
 """Odd tables, and brute-force versions of what the operators return."""
 
 import hashlib
+import itertools
 import re
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Units of substring deduplication: least words of a line, and words of a window.
+LINE_WORDS, WINDOW = 10, 50
 KINDS = ("email", "ip", "card", "phone")
 
 
@@ -40,3 +43,44 @@ def empty(spark):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_components(rows):
+    sets, parent = [], {}
+    for doc, text in rows:
+        w = WORDS.findall(lower(text or ""))
+        sets.append((doc, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()))
+        parent.setdefault(doc, doc)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    return sorted((doc, len(s), find(doc), find(doc) == doc) for doc, s in sets)
+
+
+def plain_removed(rows):
+    """Removed word places of each document, by definition."""
+    units = {}
+    for doc, text in rows:
+        words, at = [], 0
+        for line in lower(text).split("\n"):
+            own = WORDS.findall(line)
+            if LINE_WORDS <= len(own) < WINDOW:
+                units.setdefault(("line", tuple(own)), []).append((doc, at, len(own)))
+            at += len(own)
+            words += own
+        for i in range(len(words) - WINDOW + 1):
+            units.setdefault(("window", tuple(words[i : i + WINDOW])), []).append((doc, i, WINDOW))
+    gone = {doc: set() for doc, _ in rows}
+    for (kind, _), places in units.items():
+        places.sort()
+        for doc, at, n in places:
+            first = min(p for d, p, _ in places if d == doc)
+            if doc != places[0][0] or at - first >= (1 if kind == "line" else WINDOW):
+                gone[doc] |= set(range(at, at + n))
+    return gone

@@ -1,9 +1,14 @@
 """Queries against their SQL on the small tables, and the pipeline stage by stage."""
 
+import re
+import zlib
+
+import numpy as np
 import pandas as pd
 import pytest
+from tokenizers import Tokenizer
 
-from helpers import SMALL
+from helpers import SMALL, WORDS, plain_components, plain_removed
 from textloom.llm import queries as q
 
 
@@ -39,7 +44,7 @@ def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 11))
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tables):
     import corpus_pipeline as p
     from textloom.llm import pii_crf
     from textloom.session import Workspace
@@ -53,5 +58,28 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[-1] == sizes[-2] and sizes[-1] > sizes[0] // 2
     assert all(not pii_crf.base_spans(r["text"]) and r["n_chars"] == len(r["text"]) for r in docs.select("text", "n_chars").collect())
     packed = p.run(spark, SMALL)
+    # the same by plain versions of each stage; what the random field adds is its own
+    raw = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    good = [r[0] for r in tables.sql(f"SELECT doc_id FROM ({q.ORACLE_SQL['op7_ngram_ratio_rules']}) WHERE kept ORDER BY doc_id").fetchall()]
+    first = [r[0] for r in plain_components([(d, raw[d]) for d in good]) if r[3]]
+    texts = {}
+    for d, gone in plain_removed([(d, raw[d]) for d in first]).items():
+        at = [m.span() for m in WORDS.finditer(raw[d])]
+        out, done = [], 0
+        for k in sorted(gone):
+            if k - 1 not in gone:
+                out.append(raw[d][done : at[k][0]])
+            done = at[k][1] if k + 1 not in gone else done
+        texts[d] = "".join([*out, raw[d][done:]])
+    texts = {d: t for d, t in texts.items() if (WORDS.search(t) or not WORDS.search(raw[d]))}
+    model = pii_crf.fit([t for t in texts.values() if re.search("[0-9@]", t) and len(t) <= pii_crf.TRAIN_CHARS])
+    library = Tokenizer.from_file(q.WORD_BPE)
+    library.no_truncation()
+    library.no_padding()
+    wanted = []
+    for d, t in texts.items():
+        ids = np.array([*library.encode(pii_crf.redact(t, pii_crf.all_spans(model, [t])[0][1]), add_special_tokens=False).ids, 0], "<u4")
+        wanted += [(d, k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed.collect()) == sorted(wanted)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0

@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 
-from helpers import DOCS, KINDS, SMALL, WORDS, empty, lower, odd_documents, sha
+from helpers import DOCS, KINDS, SMALL, WORDS, empty, odd_documents, plain_components, plain_removed, sha
 from textloom.llm import ann, bpe, cotrain, near_dup, packing, pii_crf, quality_rules, substring, tokenfile, warc
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -217,24 +217,6 @@ def test_knapsack_is_exact():
 
 
 # near-duplicates ----------------------------------------------------------------------------------------------------
-def plain_components(rows):
-    sets, parent = [], {}
-    for doc, text in rows:
-        w = WORDS.findall(lower(text or ""))
-        sets.append((doc, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()))
-        parent.setdefault(doc, doc)
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for (a, x), (b, y) in itertools.combinations(sets, 2):
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
-            parent[max(find(a), find(b))] = min(find(a), find(b))
-    return sorted((doc, len(s), find(doc), find(doc) == doc) for doc, s in sets)
-
-
 def family(seed, copies):
     """A text and copies of it with more and more words changed."""
     rng = random.Random(seed)
@@ -305,29 +287,6 @@ def test_co_training(spark, odd):
 
 
 # substrings ---------------------------------------------------------------------------------------------------------
-def plain_removed(rows):
-    """Removed word places of each document, by definition."""
-    units = {}
-    for doc, text in rows:
-        words, at = [], 0
-        for line in lower(text).split("\n"):
-            own = WORDS.findall(line)
-            if substring.LINE_WORDS <= len(own) < substring.WINDOW:
-                units.setdefault(("line", tuple(own)), []).append((doc, at, len(own)))
-            at += len(own)
-            words += own
-        for i in range(len(words) - substring.WINDOW + 1):
-            units.setdefault(("window", tuple(words[i : i + substring.WINDOW])), []).append((doc, i, substring.WINDOW))
-    gone = {doc: set() for doc, _ in rows}
-    for (kind, _), places in units.items():
-        places.sort()
-        for doc, at, n in places:
-            first = min(p for d, p, _ in places if d == doc)
-            if doc != places[0][0] or at - first >= (1 if kind == "line" else substring.WINDOW):
-                gone[doc] |= set(range(at, at + n))
-    return gone
-
-
 def test_repeated_spans(spark, odd):
     rng = random.Random(9)
     word = lambda: f"v{rng.randrange(3000)}"
