@@ -42,16 +42,14 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def distinct_ngram_ratio(tokens: Column, n: int = 3) -> Column:
     """Distinct n-grams over n-grams; 1 where there are fewer than n + 1 tokens."""
-    grams = ngrams(tokens, n)
-    return F.when(F.size(tokens) < n + 1, F.lit(1.0)).otherwise(F.size(F.array_distinct(grams)) / F.size(grams))
+    return F.when(F.size(tokens) < n + 1, F.lit(1.0)).otherwise(F.size(F.array_distinct(ngrams(tokens, n))) / (F.size(tokens) - (n - 1)))
 
 
 def longest_repeated_ngram(tokens: Column, most: int = 12) -> Column:
     """The largest n up to ``most`` for which an n-gram recurs; a case stops at the first n without one."""
     out = None
     for n in range(2, most + 1):
-        grams = ngrams(tokens, n)
-        none = (F.size(tokens) < 2 * n) | (F.size(F.array_distinct(grams)) == F.size(grams))
+        none = (F.size(tokens) < 2 * n) | (F.size(F.array_distinct(ngrams(tokens, n))) == F.size(tokens) - (n - 1))
         value = F.lit(n - 1 if n > 2 else 0)
         out = F.when(none, value) if out is None else out.when(none, value)
     return out.otherwise(F.lit(most))
@@ -77,5 +75,4 @@ def punctuation_entropy(t: Column) -> Column:
 
 
 def stopword_ratio(tokens: Column) -> Column:
-    listed = F.array(*[F.lit(w) for w in STOPWORDS])
-    return safe_div(F.size(F.filter(tokens, lambda w: F.array_contains(listed, w))).cast("double"), F.size(tokens))
+    return safe_div(F.size(F.filter(tokens, lambda w: w.isin(STOPWORDS))).cast("double"), F.size(tokens))
