@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import stats
 from textloom.functions import text as tx
 from textloom.operators import aggregate, heuristics, logits, prepare
+from textloom.session import ship_package
 
 #: Window budget, overlap and least length of the queries.
 BUDGET, OVERLAP, LEAST = 256, 16, 80
@@ -17,6 +18,7 @@ SPACE = tx.SPACE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
