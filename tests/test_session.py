@@ -34,3 +34,20 @@ def test_workspace(spark):
     assert os.path.isdir(folder)
     work.remove("five")
     assert not os.path.exists(folder)
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    """Neither the working folder nor PYTHONPATH tells the workers where the package is."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from textloom.session import local_session\nfrom textloom import queries\n"
+        "print('rows', queries.QUERIES['document_variety'](local_session(2), '/root/testdata/sf0.001').count(),"
+        " queries.QUERIES['heuristics_window'](local_session(2), '/root/testdata/sf0.001').agg({'word_entropy': 'max'}).first()[0] > 0)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("PYSPARK_GATEWAY")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 200 True" in done.stdout, done.stderr[-2000:]
