@@ -71,3 +71,35 @@ def test_scorers(spark):
     other.vocabulary = {}
     with pytest.raises(ValueError):
         scoring.check_same_vocabulary(pair(), other)
+
+
+def test_byte_queries_score_whole_windows(spark):
+    from textloom import queries
+
+    folder = "/root/testdata/sf0.001"
+    sizes = {(r["seq"], r["window_index"]): len(r["text"].encode()) for r in queries.windows(spark, folder).select("seq", "meta.window_index", "text").collect()}
+    made = {(r["seq"], r["window_index"]): r["n_tokens"] for r in queries.scored_windows(spark, folder).collect()}
+    assert made == sizes and max(sizes.values()) > 512
+    # scores of documents, from the logits of whole windows one by one
+    pair, single = (f() for f in scoring.byte_scorers(queries.table(spark, folder, "documents")))
+    wanted = {}
+    for r in queries.windows(spark, folder).select("meta.text_id", "text").collect():
+        ids = list(r["text"].encode())
+        nll, _, cross = scoring.two_model_row(ids, pair.logits([ids])[0], single.logits([ids])[0], 256)
+        wanted.setdefault(r["text_id"], []).append((nll / (cross + 1e-8), cross))
+    rows = {r["text_id"]: r for r in queries.two_model_windows(spark, folder).collect()}
+    assert rows.keys() == wanted.keys()
+    for k, parts in wanted.items():
+        assert (rows[k]["mean_score_obs_raw"], rows[k]["mean_xent_mean"]) == pytest.approx(tuple(np.mean(parts, axis=0)), abs=1e-5)
+
+
+def test_look_up_equals_logits():
+    rng = np.random.default_rng(6)
+    a, b = scoring.ByteScorer(rng.integers(0, 50, (256, 256)), True), scoring.ByteScorer(rng.integers(0, 50, (1, 256)), False)
+    for s in (a, b):
+        tables = scoring.TokenTables(s.by_token())
+        for n in (0, 2, 3, 5000):
+            ids = rng.integers(0, 256, n).tolist()
+            assert tables.summarize(ids) == pytest.approx(scoring.summarize(ids, s.logits([ids])[0] if n else np.zeros((0, 1))))
+    ids = [*rng.integers(0, 256, 3000).tolist(), 256]
+    assert scoring.TwoTokenTables(a.by_token(), b.by_token(), 256).row(ids) == pytest.approx(scoring.two_model_row(ids, a.logits([ids])[0], b.logits([ids])[0], 256))

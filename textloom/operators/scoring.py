@@ -26,16 +26,19 @@ class Scorer(Protocol):
     pad_token_id: int
     vocabulary: dict[str, int]
 
-    def encode(self, text: str, most: int) -> list[int]: ...
+    def encode(self, text: str, most: int | None) -> list[int]: ...
 
     def logits(self, batch: list[list[int]]) -> list[np.ndarray]: ...
 
+    # A scorer whose logits depend on nothing but the token at the position may also offer all of them, a row for each
+    # token, as ``by_token() -> np.ndarray``. What they give is then looked up, and a text of any length takes little memory.
+
 
 @dataclass(frozen=True)
 class TwoModelOptions:
     observer_id: str = "observer"
     performer_id: str = "performer"
-    max_tokens: int = 512
+    max_tokens: int | None = 512
     mode: str = "low-fpr"
     batch_size: int = 8
 
@@ -69,21 +72,46 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - top - np.log(np.exp(x - top).sum(axis=-1, keepdims=True))
 
 
+def at_rows(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entropy, greatest probability and margin of each row of logits."""
+    logp = log_softmax(x)
+    p = np.exp(logp)
+    two = np.sort(np.partition(x, x.shape[1] - 2, axis=1)[:, -2:], axis=1)
+    return -(p * logp).sum(axis=1), p.max(axis=1), two[:, 1] - two[:, 0]
+
+
+def summary(true: np.ndarray, entropy: np.ndarray, top1: np.ndarray, margin: np.ndarray, in_top: np.ndarray) -> tuple:
+    q = np.quantile(true, [0.1, 0.5, 0.9])
+    return (true.mean(), true.std() if len(true) > 1 else 0.0, *q, entropy.mean(), top1.mean(), (top1 > 0.8).mean(), margin.mean(), in_top.mean(), len(true) + 1)
+
+
 def summarize(ids: list[int], logits: np.ndarray) -> tuple:
     """The eleven features of one sequence; zeros and the true count under three tokens."""
     if len(ids) < 3:
         return (*[0.0] * 10, len(ids))
     x, label = logits[:-1].astype(np.float64), np.array(ids[1:])
-    logp = log_softmax(x)
     rows = np.arange(len(label))
-    true = logp[rows, label]
-    p = np.exp(logp)
-    entropy = -(p * logp).sum(axis=1)
-    two = np.sort(np.partition(x, x.shape[1] - 2, axis=1)[:, -2:], axis=1)
-    top1 = p.max(axis=1)
     in_top = (x > x[rows, label][:, None]).sum(axis=1) < 10
-    q = np.quantile(true, [0.1, 0.5, 0.9])
-    return (true.mean(), true.std() if len(true) > 1 else 0.0, *q, entropy.mean(), top1.mean(), (top1 > 0.8).mean(), (two[:, 1] - two[:, 0]).mean(), in_top.mean(), len(true) + 1)
+    return summary(log_softmax(x)[rows, label], *at_rows(x), in_top)
+
+
+class TokenTables:
+    """What ``summarize`` takes from the logits, for every token and label of a scorer with ``by_token``."""
+
+    def __init__(self, x: np.ndarray):
+        x = x.astype(np.float64)
+        self.logp, self.rows = log_softmax(x), at_rows(x)
+        self.in_top = np.stack([(row > row[:, None]).sum(axis=1) < 10 for row in x])
+
+    def summarize(self, ids: list[int]) -> tuple:
+        if len(ids) < 3:
+            return (*[0.0] * 10, len(ids))
+        at, label = np.array(ids[:-1]), np.array(ids[1:])
+        return summary(self.logp[at, label], *(r[at] for r in self.rows), self.in_top[at, label])
+
+
+def two_model_means(nll: np.ndarray, other: np.ndarray, cross: np.ndarray, mask: np.ndarray) -> tuple[float, float, float]:
+    return nll.mean(), other.mean(), float((cross * mask).sum() / max(1, mask.sum()))
 
 
 def two_model_row(ids: list[int], observer: np.ndarray, performer: np.ndarray, pad: int) -> tuple[float, float, float]:
@@ -92,8 +120,21 @@ def two_model_row(ids: list[int], observer: np.ndarray, performer: np.ndarray, p
         return 0.0, 0.0, 0.0
     label = np.array(ids[1:])
     o, p, rows = log_softmax(observer[:-1]), log_softmax(performer[:-1]), np.arange(len(label))
-    cross, mask = -(np.exp(o) * p).sum(axis=1), label != pad
-    return -o[rows, label].mean(), -p[rows, label].mean(), float((cross * mask).sum() / max(1, mask.sum()))
+    return two_model_means(-o[rows, label], -p[rows, label], -(np.exp(o) * p).sum(axis=1), label != pad)
+
+
+class TwoTokenTables:
+    """What ``two_model_row`` takes from the logits, for every token and label of two scorers with ``by_token``."""
+
+    def __init__(self, observer: np.ndarray, performer: np.ndarray, pad: int):
+        self.o, self.p, self.pad = log_softmax(observer), log_softmax(performer), pad
+        self.cross = -(np.exp(self.o) * self.p).sum(axis=1)
+
+    def row(self, ids: list[int]) -> tuple[float, float, float]:
+        if len(ids) < 2:
+            return 0.0, 0.0, 0.0
+        at, label = np.array(ids[:-1]), np.array(ids[1:])
+        return two_model_means(-self.o[at, label], -self.p[at, label], self.cross[at], label != self.pad)
 
 
 def _map_texts(df: DataFrame, name: str, fields: str, rows: Callable[[list[str]], list[tuple]]) -> DataFrame:
@@ -113,16 +154,20 @@ def _map_texts(df: DataFrame, name: str, fields: str, rows: Callable[[list[str]]
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, inner)]))
 
 
-def logits_features(prepared: DataFrame, factory: Callable[[], Scorer], key: str, max_tokens: int = 512, timed: bool = False) -> DataFrame:
-    """label, seq, meta and logits_features of each window; with ``timed`` also runtime_s. One window at a time."""
+def logits_features(prepared: DataFrame, factory: Callable[[], Scorer], key: str, max_tokens: int | None = 512, timed: bool = False) -> DataFrame:
+    """label, seq, meta and logits_features of each window; with ``timed`` also runtime_s. One window at a time.
+
+    ``max_tokens`` counts the scorer's own tokens; None scores whole windows.
+    """
     fields = ", ".join(f"{n} double" for n in SUMMARY) + ", n_tokens int" + ", runtime_s double" * timed
 
     def rows(texts: list[str]) -> list[tuple]:
         scorer, out = loaded(factory, key), []
+        tables = TokenTables(scorer.by_token()) if hasattr(scorer, "by_token") else None
         for t in texts:
             began = time.perf_counter()
             ids = scorer.encode(t, max_tokens)
-            row = summarize(ids, scorer.logits([ids])[0] if len(ids) >= 3 else np.zeros((0, 1)))
+            row = tables.summarize(ids) if tables else summarize(ids, scorer.logits([ids])[0] if len(ids) >= 3 else np.zeros((0, 1)))
             out.append((*row, time.perf_counter() - began) if timed else row)
         return out
 
@@ -136,17 +181,22 @@ def two_model_features(prepared: DataFrame, observer: Callable[[], Scorer], perf
     fields = ", ".join(f"{n} double" for n in numbers) + ", mode string, observer_model_id string, performer_model_id string, max_tokens int, batch_size int"
     tail = (o.threshold, o.mode, o.observer_id, o.performer_id, o.max_tokens, o.batch_size)
 
+    def finish(nll: float, other: float, cross: float) -> tuple:
+        return (nll / (cross + EPSILON), other / (cross + EPSILON), nll, other, cross, *tail)
+
     def rows(texts: list[str]) -> list[tuple]:
         a, b = loaded(observer, o.observer_id), loaded(performer, o.performer_id)
         check_same_vocabulary(a, b)
+        if hasattr(a, "by_token") and hasattr(b, "by_token"):
+            tables = TwoTokenTables(a.by_token(), b.by_token(), a.pad_token_id)
+            return [finish(*tables.row(a.encode(t, o.max_tokens))) for t in texts]
         ids = [a.encode(t, o.max_tokens) for t in texts]
         order, out = sorted(range(len(ids)), key=lambda i: len(ids[i])), [()] * len(ids)
         for s in range(0, len(order), o.batch_size):
             part = order[s : s + o.batch_size]
             batch = [ids[i] for i in part]
             for i, x, y in zip(part, a.logits(batch), b.logits(batch), strict=True):
-                nll, other, cross = two_model_row(ids[i], x, y, a.pad_token_id)
-                out[i] = (nll / (cross + EPSILON), other / (cross + EPSILON), nll, other, cross, *tail)
+                out[i] = finish(*two_model_row(ids[i], x, y, a.pad_token_id))
         return out
 
     return _map_texts(prepared, "binoculars_features", fields, rows).drop("text")
@@ -164,12 +214,15 @@ class ByteScorer:
         table[:, 256] = -30.0
         self.table, self.after = table, after
 
-    def encode(self, text: str, most: int) -> list[int]:
+    def encode(self, text: str, most: int | None) -> list[int]:
         return list(text.encode("utf-8", "surrogatepass")[:most])
 
     def logits(self, batch: list[list[int]]) -> list[np.ndarray]:
         return [self.table[np.array(ids, np.int64)] if self.after else np.broadcast_to(self.table, (len(ids), 257)) for ids in batch]
 
+    def by_token(self) -> np.ndarray:
+        return self.table if self.after else np.broadcast_to(self.table, (257, 257))
+
 
 def byte_scorers(docs: DataFrame) -> tuple[Callable[[], Scorer], Callable[[], Scorer]]:
     """Factories of a byte-pair and a single-byte scorer, from counts over all texts (at most 65,536 rows reach the driver)."""
@@ -215,8 +268,8 @@ def transformers_scorer(model_id: str, device: str | None = None, bfloat16: bool
                 self.model = AutoModelForCausalLM.from_pretrained(model_id, torch_dtype=kind, token=token).to(self.device).eval()
                 self.pad_token_id, self.vocabulary = self.tokenizer.pad_token_id, self.tokenizer.get_vocab()
 
-            def encode(self, text: str, most: int) -> list[int]:
-                return self.tokenizer(text, truncation=True, max_length=most)["input_ids"]
+            def encode(self, text: str, most: int | None) -> list[int]:
+                return self.tokenizer(text, truncation=most is not None, max_length=most)["input_ids"]
 
             def logits(self, batch: list[list[int]]) -> list[np.ndarray]:
                 longest = max(map(len, batch))

@@ -344,17 +344,17 @@ def scored(spark: SparkSession, sf_dir: str) -> tuple:
 
 @query()
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logit features of each window under a byte-pair model counted over all documents."""
+    """Logit features of each whole window under a byte-pair model counted over all documents."""
     scoring, pair, _, prepared = scored(spark, sf_dir)
-    rows = scoring.logits_features(prepared, pair, f"pair:{sf_dir}")
+    rows = scoring.logits_features(prepared, pair, f"pair:{sf_dir}", max_tokens=None)
     return rows.select("seq", "meta.window_index", *[rounded(f"logits_features.{n}") for n in logits.SUMMARY], "logits_features.n_tokens")
 
 
 @query()
 def two_model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-model features of each window, means by document."""
+    """Two-model features of each whole window, means by document."""
     scoring, pair, single, prepared = scored(spark, sf_dir)
-    rows = scoring.two_model_features(prepared, pair, single, scoring.TwoModelOptions(f"pair:{sf_dir}", f"single:{sf_dir}"))
+    rows = scoring.two_model_features(prepared, pair, single, scoring.TwoModelOptions(f"pair:{sf_dir}", f"single:{sf_dir}", max_tokens=None))
     done = aggregate.aggregate_documents(rows, "binoculars_features")
     return done.select("meta.text_id", *[rounded(f"binoculars_features.mean_{n}") for n in ("score_obs_raw", "score_perf_raw", "xent_mean", "threshold")])
 
