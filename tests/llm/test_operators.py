@@ -242,6 +242,22 @@ def test_near_duplicates(spark, odd):
     assert kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id in (1, 2, 3)").count() == 3
 
 
+def test_classes_that_centres_reject_meet_all_others(spark):
+    """Pairs of alike classes in one bucket of many unlike ones: each pair is joined."""
+    from textloom.session import Workspace
+
+    rng = np.random.default_rng(8)
+    shared, rows = [1, 2], []
+    for i in range(12):
+        marks = rng.integers(-(2**31), 2**31, 2 * near_dup.HALVES).tolist()
+        for j in range(2):
+            own = [1000 * (2 * i + j) + h for h in range(10, 10 + near_dup.HALVES - 2)]
+            rows.append((2 * i + j, 100, [*shared, *own], marks))
+    classes = spark.createDataFrame(rows, "rep long, n long, halves array<long>, marks array<int>")
+    made = near_dup.candidate_joins(classes, Workspace(spark, "test-joins"))
+    assert {(min(r), max(r)) for r in made.collect()} == {(2 * i, 2 * i + 1) for i in range(12)}
+
+
 def test_blocks_of_a_large_component(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 500)
     rows = list(enumerate(t for s in range(2) for t in family(s + 10, 30)))

@@ -6,8 +6,8 @@ minhashes each are computed, and every pair of half keys is one table key: HALVE
 rows for 2 * HALVES minhashes. A pair at similarity 0.75 shares no table with probability 2e-4, and at 0.85 with 1e-7.
 
 Only half keys that two classes share make table keys. In each table bucket every class is joined to one centre (the
-class whose half keys are the most shared), never to all others; joins whose signatures agree in too few places go, and
-what loses its centre so gets another, ``CENTRES`` times. Connected components of these joins gather what may be alike.
+class whose half keys are the most shared); joins whose signatures agree in too few places go, and what loses its centre
+so is compared with all other classes of the bucket. So no two alike classes of a bucket are left apart. Connected components of these joins gather what may be alike.
 There every pair that could still join two parts is compared on full shingle sets, in tasks of bounded size: a large
 component is dealt into blocks, and each pair of blocks is compared apart. Confirmed links give the final components,
 by large-star and small-star steps. All sums are partial before shuffles; nothing of the corpus reaches the driver.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import ASCII_LOWER, mix64, pick, text_slices, word_hashes
 from textloom.session import Workspace, ship_package
 
-SHINGLE, HALVES, CENTRES, SHARE = 5, 14, 3, 75
+SHINGLE, HALVES, SHARE = 5, 14, 75
 #: Signature places (of 2 * HALVES) that must agree; a pair at 0.75 fails with probability 2e-5.
 AGREE = 12
 #: Shingles in a block of a component.
@@ -88,22 +88,21 @@ def candidate_joins(classes: DataFrame, work: Workspace) -> DataFrame:
     left = keys.join(keys.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "t")
     left = work.save(left.select("t", rank.alias("x")), "keys")
     marks = work.save(classes.select("rep", "n", "marks"), "marks")
-    out = []
-    for k in range(CENTRES):
-        centre = left.groupBy("t").agg(F.max("x").alias("centre"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        met = left.join(centre, "t").filter("x < centre").select(F.col("centre.rep").alias("a"), F.col("x.rep").alias("b"), "t", "x")
-        pair = met.select("a", "b").distinct()
-        one, two = (marks.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}")) for c in "ab")
-        agree = F.size(F.filter(F.zip_with("m_a", "m_b", lambda x, y: x == y), lambda e: e))
-        sized = 100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")
-        good = work.save(pair.join(one, "a").join(two, "b").filter(sized & (agree >= AGREE)).select("a", "b"), f"joins{k}")
-        out.append(good)
-        if k + 1 < CENTRES:
-            left = work.save(met.join(good, ["a", "b"], "left_anti").select("t", "x"), f"left{k}")
-    joins = out[0]
-    for more in out[1:]:
-        joins = joins.unionByName(more)
-    return joins.distinct()
+    one, two = (marks.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}")) for c in "ab")
+    agree = F.size(F.filter(F.zip_with("m_a", "m_b", lambda x, y: x == y), lambda e: e))
+    sized = 100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")
+
+    def alike(pair: DataFrame) -> DataFrame:
+        return pair.join(one, "a").join(two, "b").filter(sized & (agree >= AGREE)).select("a", "b")
+
+    centre = left.groupBy("t").agg(F.max("x").alias("centre"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    met = left.join(centre, "t").filter("x < centre").select(F.col("centre.rep").alias("a"), F.col("x.rep").alias("b"), "t")
+    good = work.save(alike(met.select("a", "b").distinct()), "joins0")
+    rejected = work.save(met.join(good, ["a", "b"], "left_anti").select("t", F.col("b").alias("x")), "rejected")
+    # what a centre keeps is joined through it; what it rejects meets all others of its buckets
+    every = left.select("t", F.col("x.rep").alias("y"))
+    others = rejected.join(every, "t").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return good.unionByName(work.save(alike(others), "joins1")).distinct()
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
