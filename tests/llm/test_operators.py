@@ -84,6 +84,18 @@ def test_skip_edges_label_a_repeated_token():
     assert with_skip[4] > without[4]
 
 
+def test_labels_reach_the_last_of_many_repeats():
+    n, k = 40, 5
+    table = 2.5 * (2 * np.eye(k) - 1)
+    model = pii_crf.Model(np.zeros((pii_crf.FEATURES, k)), np.zeros((k, k)), table)
+    step = np.exp(table) / np.exp(table).sum(axis=1, keepdims=True)
+    g = pii_crf.Graph()
+    g.doc, g.features, g.seen, g.skip = [7] * n + [9] * 2, [[0]] * (n + 2), [4, *[-1] * (n - 1), 1, -1], [(i, i + 1) for i in range(n + 1) if i != n - 1]
+    p = model.marginals(g)
+    assert p[n - 1] == pytest.approx(np.linalg.matrix_power(step, n - 1)[4], abs=1e-3) and p[n - 1, 4] > 0.3
+    assert p[n + 1] == pytest.approx(step[1], abs=1e-3)
+
+
 # nearest neighbours -------------------------------------------------------------------------------------------------
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)

@@ -139,7 +139,10 @@ class Model:
         self.weights, self.chain, self.skip = weights, chain, skip
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """Loopy sum-product in the log domain, with damping; observed nodes are clamped."""
+        """Loopy sum-product in the log domain, with damping; observed nodes are clamped.
+
+        Messages go on until a document's converge, for ROUNDS and two more for each repeat in its longest chain of repeats at most.
+        """
         k = len(KINDS) + 1
         unary = self.weights[np.array(g.features)].sum(axis=1)
         seen = np.array(g.seen)
@@ -153,16 +156,25 @@ class Model:
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         reverse = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
         message = np.zeros((len(source), k))
-        for _ in range(ROUNDS if len(source) else 0):
+        # each document stops by itself, so its labels do not depend on what it is read with
+        doc = np.unique(np.array(g.doc), return_inverse=True)[1]
+        depth, most = np.zeros(len(doc), np.int64), np.full(doc.max(initial=-1) + 1, ROUNDS)
+        for a, b in g.skip:
+            depth[b] = depth[a] + 1
+        np.maximum.at(most, doc, ROUNDS + 2 * depth)
+        live = np.arange(len(source))
+        for step in range(1, most.max(initial=0) + 1):
+            if not len(live):
+                break
             belief = unary.copy()
             np.add.at(belief, target, message)
-            out = belief[source] - message[reverse]
-            new = np.logaddexp.reduce(out[:, :, None] + tables, axis=1)
+            out = belief[source[live]] - message[reverse[live]]
+            new = np.logaddexp.reduce(out[:, :, None] + tables[live], axis=1)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            change = np.abs(new - message).max()
-            message = 0.3 * message + 0.7 * new
-            if change < 1e-4:
-                break
+            change = np.zeros(len(most))
+            np.maximum.at(change, doc[source[live]], np.abs(new - message[live]).max(axis=1))
+            message[live] = 0.3 * message[live] + 0.7 * new
+            live = live[((change >= 1e-4) & (step < most))[doc[source[live]]]]
         belief = unary
         np.add.at(belief, target, message)
         belief -= np.logaddexp.reduce(belief, axis=1, keepdims=True)
