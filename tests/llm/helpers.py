@@ -8,7 +8,7 @@ SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Units of substring deduplication: least words of a line, and words of a window.
-LINE_WORDS, WINDOW = 10, 50
+LINE_WORDS, WINDOW = 1, 50
 KINDS = ("email", "ip", "card", "phone")
 
 

@@ -1,7 +1,8 @@
 """Substring deduplication by hashing units: of equal units the earliest stays, the rest go.
 
-A unit is a line of ``LINE_WORDS`` to ``WINDOW - 1`` words, or any ``WINDOW`` words in a row: passages that recur
-inside lines have no line of their own, so lines alone would miss them. Units are normalised (A-Z to a-z, white space
+A unit is a line of at least ``line_words`` words (1 unless another floor is given), or any ``WINDOW`` words in a row:
+passages that recur inside lines have no line of their own, so lines alone would miss them. Lines of ``WINDOW`` words
+and more are made of windows, which find them. Units are normalised (A-Z to a-z, white space
 between words left out), digested to 96 bits and grouped over the whole corpus; the occurrence of the least
 (doc_id, place) is kept. A later line is removed. A later window is removed if its first occurrence is in another
 document, or in the same one and does not overlap it. Removed units that touch make one span of the original text.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import ASCII_LOWER, free_name, mix64, pick, text_slices, word_hashes
 from textloom.session import Workspace, ship_package
 
-WINDOW, LINE_WORDS, GRAM = 50, 10, 12
+#: Words of a window, least words of a line by default, and words of a sequence that can be an anchor.
+WINDOW, LINE_WORDS, GRAM = 50, 1, 12
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 #: Odd multipliers of the two polynomial hashes, and what sets lines apart from windows.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -59,7 +61,7 @@ _powers = Powers()
 class Text:
     """Hashes of a text's words, of any run of them in constant time, and its lines."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, line_words: int = LINE_WORDS):
         raw = text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
         self.hashes = word_hashes().of(raw.split())
         self.n = len(self.hashes)
@@ -67,7 +69,7 @@ class Text:
         self.sums = []
         counts = np.array([len(x.split()) for x in raw.split(b"\n")], np.int64)
         starts = np.cumsum(counts) - counts
-        some = (counts >= LINE_WORDS) & (counts < WINDOW)
+        some = (counts >= max(1, line_words)) & (counts < WINDOW)
         self.line_start, self.line_words = starts[some], counts[some]
 
     def run(self, start: np.ndarray, words: np.ndarray | int, which: int = 0) -> np.ndarray:
@@ -116,14 +118,14 @@ class Text:
         return np.concatenate(out), np.concatenate(again)
 
 
-def unit_keys(docs: DataFrame) -> DataFrame:
+def unit_keys(docs: DataFrame, line_words: int) -> DataFrame:
     """(key, doc_id, print, again): keys of every text's units; ``print`` tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, prints = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("doc_id", "print"))
             for a, b, texts in text_slices(batch.column("text")):
-                found = [Text(t).keys() for t in texts]
+                found = [Text(t, line_words).keys() for t in texts]
                 n = [len(k) for k, _ in found]
                 keys = np.concatenate([k for k, _ in found]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[a:b], n)), pa.array(np.repeat(prints[a:b], n)), pa.array(np.concatenate([x for _, x in found]))], names=["key", "doc_id", "print", "again"])
@@ -138,9 +140,9 @@ OPEN, GONE = 0, 1
 UNITS_AT_ONCE = 200_000
 
 
-def text_units(text: str, live: np.ndarray | None) -> list[np.ndarray]:
+def text_units(text: str, live: np.ndarray | None, line_words: int = LINE_WORDS) -> list[np.ndarray]:
     """kind, d1, d2, pos, words, start, end of the text's units with a live key; without keys, what a copy loses."""
-    t = Text(text)
+    t = Text(text, line_words)
     if live is None:
         pos, words = (np.array([0]), np.array([t.n])) if t.n >= WINDOW else (t.line_start, t.line_words)
         kind, d1, d2 = np.full(len(pos), GONE), np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int32)
@@ -160,7 +162,7 @@ def text_units(text: str, live: np.ndarray | None) -> list[np.ndarray]:
     return [kind.astype(np.int8), d1, d2, pos.astype(np.int32), words.astype(np.int32), at[pos, 0], at[pos + words - 1, 1]]
 
 
-def candidate_units(wanted: DataFrame) -> DataFrame:
+def candidate_units(wanted: DataFrame, line_words: int) -> DataFrame:
     """Units of the texts (doc_id, text, keys, original): those with a wanted key, or what a copy loses at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,7 @@ def candidate_units(wanted: DataFrame) -> DataFrame:
         for batch in batches:
             rows = zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text")), batch.column("keys"), batch.column("original").to_pylist(), strict=True)
             for doc, text, keys, original in rows:
-                found = text_units(text, np.asarray(keys.values).view(np.uint64) if original is None else None)
+                found = text_units(text, np.asarray(keys.values).view(np.uint64) if original is None else None, line_words)
                 if found:
                     n = len(found[0])
                     held.append([*found[:3], np.full(n, doc, np.int64), *found[3:], np.full(n, doc if original is None else original, np.int64)])
@@ -189,7 +191,7 @@ def candidate_units(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, UNIT_SCHEMA)
 
 
-def repeated_spans(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, work: Workspace | None = None, line_words: int = LINE_WORDS) -> DataFrame:
     """(doc_id, start, end, words, kept_doc_id): what to remove; kept_doc_id holds an earlier occurrence of part of it, or all of a copy."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -198,17 +200,18 @@ def repeated_spans(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     # copies: every text but the first of its kind
     prints = own.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("whole"))
     first = prints.groupBy("whole").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("last")).filter("original < last").drop("last")
+    first = work.save(first, "first")  # a table, so that a join on one text's many copies can be split
     copies = work.save(prints.join(first, "whole").filter("doc_id > original").groupBy("doc_id").agg(F.min("original").alias("original")), "copies")
     # keys that occur in two texts, or twice in one
-    keys = work.save(unit_keys(own), "keys")
+    keys = work.save(unit_keys(own, line_words), "keys")
     twice = keys.groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b"), F.max("again").alias("again"))
     live = work.save(twice.filter("a < b or again").select("key"), "live")
     by_doc = keys.join(live, "key").join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     nothing = F.array().cast("array<bigint>")
     wanted = work.save(by_doc.withColumn("original", F.lit(None).cast("long")).unionByName(copies.withColumn("keys", nothing)), "wanted")
-    units = work.save(candidate_units(own.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "keys", "original")), "units")
+    units = work.save(candidate_units(own.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "keys", "original"), line_words), "units")
     work.release()
-    for name in ("keys", "live", "wanted"):
+    for name in ("first", "copies", "keys", "live", "wanted"):
         work.remove(name)
     # of equal units the earliest stays
     found = units.filter(F.col("kind") == OPEN)
