@@ -199,8 +199,8 @@ def test_packing(spark, library, small, odd):
             ids = np.array([*library.encode(d["text"] or "", add_special_tokens=False).ids, 0], "<u4")
             wanted += [(d["doc_id"] is not None, d["doc_id"] or 0, k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
         assert pieces == sorted(wanted)
-        least = -(-sum(r["length"] for r in rows) // 2048)
-        assert check_packing(rows, 2048) <= least * 1.02 + 2
+        lengths = [r["length"] for r in rows]
+        assert check_packing(rows, 2048) <= best_fit_alone({n: lengths.count(n) for n in lengths})
     assert packing.pack_documents(empty(spark), PATH).count() == 0
 
 
@@ -215,8 +215,27 @@ def test_plan_near_the_bound():
             assert sum(group) <= 2048
             for k in group:
                 placed[k] = placed.get(k, 0) + count
-        assert placed == histogram
-        assert plan.sequences <= max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum())) * 1.02 + 2
+        assert placed == histogram and plan.sequences <= best_fit_alone(histogram)
+
+
+def best_fit_alone(histogram):
+    alone = packing.Plan({})
+    alone._best_fit(sorted(histogram.items(), reverse=True))
+    return alone.sequences
+
+
+def test_plan_of_the_driver_tables(library):
+    """As few sequences as the tokens allow, most of the pieces placed by the program."""
+    import pandas as pd
+
+    lengths = []
+    for e in library.encode_batch(pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["text"]).text.fillna("").tolist(), add_special_tokens=False):
+        full, rest = divmod(len(e.ids) + 1, 2048)
+        lengths += [2048] * full + [rest] * (rest > 0)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    plan = packing.Plan(histogram)
+    assert plan.sequences == -(-sum(lengths) // 2048) == best_fit_alone(histogram)
+    assert plan.by_program > 0.8 * sum(n < 2048 for n in lengths)
 
 
 def test_knapsack_is_exact():

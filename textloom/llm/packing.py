@@ -4,8 +4,10 @@ Only the histogram (at most one entry for each length up to the capacity) reache
 grouped into classes of ``GRAIN`` tokens, and the program "fewest sequences, each filled by a configuration of
 classes, that cover all pieces" is solved by multiplicative weights: each round prices the classes by their
 weights, a knapsack dynamic program finds the best configuration, and the weights of what it covers shrink. The
-fractional solution is rounded to whole configurations, largest first, as far as pieces are left; the rest goes by
-best fit, decreasing, on exact lengths, into the room left over and then into new sequences. Pieces of one length
+fractional solution is rounded to whole configurations, most used first, on exact lengths as far as pieces are left;
+the rest goes by best fit, decreasing, into the room left over and then into new sequences. A few sequences too many
+are saved by packing the least full ones anew, each by a knapsack on exact lengths. If the plan is still longer than best fit alone, more of the least full configurations are taken
+apart and their pieces go by best fit, too, until it is not: a plan is never longer than best fit alone. Pieces of one length
 are alike, so each is placed by its rank among them, which executors work out from counts by partition.
 
 Null text is empty: its document is the end id alone. Repeated rows are packed each. An empty table gives no rows.
@@ -30,8 +32,10 @@ from textloom.session import Workspace, ship_package
 CAPACITY, END_ID = 2048, 0
 #: Tokens in a length class, rate of the weights, rounds at most, and times each class is to be covered.
 GRAIN, RATE, ROUNDS, COVERS = 8, 0.25, 2500, 6.0
-#: Share of all tokens, in the shortest pieces, that the program leaves to best fit: they fill what classes leave over.
-FILLERS = 0.1
+#: Shares of the sequences of configurations that a plan keeps, until it is no longer than best fit alone.
+KEPT_SHARES = (0.9, 0.85, 0.8, 0.7, 0.6, 0.4, 0.2, 0.0)
+#: Sequences too many that repacking tries to save, and batches of so many sequences with room that it takes apart for that.
+MOST_SAVED, REPACKED, MOST_BATCHES = 16, 100, 40
 
 
 def best_configuration(value: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -81,63 +85,95 @@ def fractional_cover(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray
 
 
 class Plan:
-    """Where the r-th piece of each length goes. Groups: ``count`` sequences that hold the same lengths."""
+    """Where the r-th piece of each length goes. Groups: ``count`` sequences that hold the same lengths.
+
+    ``by_program`` counts the pieces that configurations placed, other than full ones.
+    """
 
     def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY):
-        self.capacity, self.groups = capacity, []  # [lengths, count]
+        self.capacity, self.groups, self.by_program = capacity, [], 0  # [lengths, count]
         left = {n: c for n, c in histogram.items() if c > 0}
-        if full := left.pop(capacity, 0):
+        full = left.pop(capacity, 0)
+        alone = Plan.__new__(Plan)
+        alone.capacity, alone.groups = capacity, []
+        alone._best_fit(sorted(left.items(), reverse=True))
+        least = -(-sum(n * c for n, c in left.items()) // capacity)
+        rounded = self._rounded(left)
+        for share in KEPT_SHARES:
+            self.groups = self._fullest(rounded, share)
+            self.by_program = sum(len(lengths) * count for lengths, count in self.groups)
+            rest = dict(left)
+            for lengths, count in self.groups:
+                for n in lengths:
+                    rest[n] -= count
+            self._best_fit(sorted(((n, c) for n, c in rest.items() if c), reverse=True))
+            for target in (least, alone.sequences):
+                if self.sequences > alone.sequences or target == least:
+                    self._save(self.sequences - target)
+            if self.sequences <= alone.sequences:
+                break
+        if full:
             self.groups.append([[capacity], full])
-        grain = min(GRAIN, capacity)
-        slots = capacity // grain
+
+    def _rounded(self, histogram: dict[int, int]) -> list:
+        """Whole configurations on exact lengths: each class but the least gives its longest piece, and what then has room is the longest that fits."""
+        grain = min(GRAIN, self.capacity)
+        slots = self.capacity // grain
+        there = np.zeros(self.capacity + 1, np.int64)
+        for n, c in histogram.items():
+            there[n] = c
         demand = np.zeros(slots + 1, np.int64)
-        runs: dict[int, list[list[int]]] = {}  # of each class: [length, count], longest last
-        short, most = 0, FILLERS * sum(n * c for n, c in left.items())
-        fillers = []
-        for n in sorted(left):
-            k, short = -(-n // grain), short + n * left[n]
-            if short <= most:
-                fillers.append((n, left[n]))
-            elif k <= slots:
-                demand[k] += left[n]
-                runs.setdefault(k, []).append([n, left[n]])
+        for n, c in histogram.items():
+            if -(-n // grain) <= slots:
+                demand[-(-n // grain)] += c
+        groups = []
         for counts, x in fractional_cover(demand, slots):
-            counts = counts.copy()
-            inside = np.flatnonzero(counts)
-            if counts.sum() > 1:  # best fit finds the exact length for the least piece's place
-                counts[inside[0]] -= 1
-                inside = np.flatnonzero(counts)
-            times = min(int(x + 0.5), *(int(demand[k] // counts[k]) for k in inside))
-            if times > 0:
-                for k in inside:
-                    demand[k] -= times * counts[k]
-                self._fill([k for k in inside for _ in range(counts[k])], times, runs)
-        rest = [(n, c) for part in runs.values() for n, c in part if c] + fillers + [(n, c) for n, c in left.items() if -(-n // grain) > slots]
-        self._best_fit(sorted(rest, reverse=True))
-
-    def _fill(self, classes: list[int], times: int, runs: dict[int, list[list[int]]]) -> None:
-        """``times`` sequences with a piece of each class: groups of like lengths."""
-        taken = []
-        for k in classes:
-            part, want = [], times
-            while want:
-                n, c = runs[k][-1]
-                some = min(c, want)
-                part.append([n, some])
-                want -= some
-                if some == c:
-                    runs[k].pop()
-                else:
-                    runs[k][-1][1] -= some
-            taken.append(part)
-        at = [0] * len(taken)
-        while times:
-            some = min(part[i][1] for part, i in zip(taken, at, strict=True))
-            self.groups.append([[part[i][0] for part, i in zip(taken, at, strict=True)], some])
-            times -= some
-            for s, part in enumerate(taken):
-                part[at[s]][1] -= some
-                at[s] += part[at[s]][1] == 0
+            classes = [int(k) for k in np.flatnonzero(counts)[::-1] for _ in range(counts[k])]
+            times = int(x + 0.5)
+            while times and (lengths := self._lengths(classes, there, grain)):
+                each: dict[int, int] = {}
+                for n in lengths:
+                    each[n] = each.get(n, 0) + 1
+                some = min(times, *(int(there[n] // k) for n, k in each.items()))
+                for n, k in each.items():
+                    there[n] -= some * k
+                groups.append([lengths, some])
+                times -= some
+        return groups
+
+    def _lengths(self, classes: list[int], there: np.ndarray, grain: int) -> list[int] | None:
+        """Exact lengths for one sequence of a configuration, or None if a class has run out."""
+        taken: dict[int, int] = {}
+        lengths, room = [], self.capacity
+
+        def longest(low: int, high: int) -> int:
+            for n in np.flatnonzero(there[low : high + 1])[::-1] + low:
+                if there[n] > taken.get(int(n), 0):
+                    return int(n)
+            return 0
+
+        def take(n: int) -> int:
+            lengths.append(n)
+            taken[n] = taken.get(n, 0) + 1
+            return room - n
+
+        for k in classes[:-1] if len(classes) > 1 else classes:
+            if not (n := longest((k - 1) * grain + 1, k * grain)):
+                return None
+            room = take(n)
+        while room and (n := longest(1, room)):
+            room = take(n)
+        return lengths
+
+    def _fullest(self, groups: list, share: float) -> list:
+        """The fullest sequences of these groups, as many as ``share`` of all."""
+        order = sorted(groups, key=lambda g: (-sum(g[0]), -min(g[0])))
+        left, out = int(share * sum(c for _, c in groups)), []
+        for lengths, count in order:
+            if some := min(count, left):
+                out.append([lengths, some])
+                left -= some
+        return out
 
     def _best_fit(self, rest: list[tuple[int, int]]) -> None:
         by_room: dict[int, list[int]] = {}
@@ -179,6 +215,57 @@ class Plan:
                 open_group(i)
                 c -= some
 
+    def _save(self, many: int) -> None:
+        """Save so many sequences by packing those with room anew, a batch at a time, each with some full ones of many pieces.
+
+        The longest piece left goes with what a knapsack on exact lengths finds to fill its sequence, long pieces first.
+        What a batch can't fill goes on to the next, so the room of all of them gathers.
+        """
+        if not 0 < many <= MOST_SAVED:
+            return
+        room = [self.capacity - sum(lengths) for lengths, _ in self.groups]
+        opened = sorted((i for i, r in enumerate(room) if r), key=lambda i: -room[i])
+        rich = sorted((i for i, r in enumerate(room) if not r), key=lambda i: -len(self.groups[i][0]))
+        kept = [[list(lengths), count] for lengths, count in self.groups]
+        value = np.arange(self.capacity + 1) * (1 + 1e-8 * np.arange(self.capacity + 1))
+        pool, saved, made, open_ = np.zeros(self.capacity + 1, np.int64), 0, [], 0
+
+        def take(order: list[int], most: int) -> int:
+            """Put the pieces of up to ``most`` sequences into the pool."""
+            size = 0
+            while order and size < most:
+                lengths, count = kept[order[0]]
+                some = min(count, most - size)
+                np.add.at(pool, lengths, some)
+                kept[order[0]][1] -= some
+                size += some
+                if some == count:
+                    order.pop(0)
+            return size
+
+        for _ in range(MOST_BATCHES):
+            own = take(opened, REPACKED)
+            open_ += own + take(rich, REPACKED // 2)
+            new: list = []
+            while pool.any():
+                longest = int(np.flatnonzero(pool)[-1])
+                pool[longest] -= 1
+                counts, _ = best_configuration(value, pool, self.capacity - longest)
+                pool -= counts
+                new.append([[longest, *np.repeat(np.arange(len(counts)), counts).tolist()], 1])
+            saved = open_ - len(new)
+            if saved >= many or not own:
+                made += new
+                break
+            for lengths, _ in new:
+                if sum(lengths) == self.capacity:
+                    made.append([lengths, 1])
+                    open_ -= 1
+                else:
+                    np.add.at(pool, lengths, 1)
+        if saved >= many:
+            self.groups = [g for g in kept if g[1]] + made
+
     @property
     def sequences(self) -> int:
         return sum(c for _, c in self.groups)
