@@ -216,6 +216,7 @@ def repeated_spans(docs: DataFrame, work: Workspace | None = None, line_words: i
     # of equal units the earliest stays
     found = units.filter(F.col("kind") == OPEN)
     firsts = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    firsts = work.save(firsts, "firsts")  # as with the texts: a common unit's join can be split
     place = ["doc_id", "pos", "words", "start", "end"]
     later = found.select("d1", "d2", *place).join(firsts, ["d1", "d2"]).filter("doc_id > first").select(*place, F.col("first").alias("kept_doc_id"))
     gone = later.unionByName(units.filter(F.col("kind") == GONE).select(*place, "kept_doc_id"))
