@@ -63,6 +63,26 @@ def test_document_sink(spark, tmp_path):
     assert read("one.json") == {"label": "a"} and read("none.json") == {"docs": []} and not (tmp_path / "skip.json").exists()
 
 
+def test_many_documents_are_one_object(spark, tmp_path):
+    writers.write_documents(spark.range(1500).selectExpr("-id as seq", "id as label"), str(tmp_path / "many.json"))
+    assert json.loads((tmp_path / "many.json").read_text()) == {"docs": [{"label": i} for i in range(1499, -1, -1)]}
+
+
+def test_files_of_other_tools_keep_labels_and_metadata(spark, tmp_path):
+    """Flat metadata, numeric labels, ids that are null or missing: as they come in, so they go out."""
+    words = " ".join(f"word{i}" for i in range(120)) + "."
+    meta = {"source": "web", "page": 3, "tags": ["a"], "text_id": "t1", "estimated_tokens": 9}
+    lines = [{"text": words, "label": 1, "meta": {**meta, "window_index": i, "window_text_id": f"w{i}", "window_estimated_tokens": 5}} for i in (1, 0)]
+    lines += [{"text": words, "label": "ai", "meta": {"text_id": None}}, {"text": words, "label": None, "meta": {}}]
+    (tmp_path / "x_prepared.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    made = pipelines.score(spark, str(tmp_path / "x_prepared.jsonl"), pipelines.ScoreOptions(aggregate_doc=True, with_heuristics=True))
+    rows = [json.loads(x) for f in sorted(os.listdir(made[0])) if f.endswith(".json") for x in open(f"{made[0]}/{f}")]
+    assert [r["label"] for r in rows] == [1, 1, "ai", None] and rows[0]["meta"] == lines[0]["meta"]
+    assert set(rows[0]) == {"label", "meta", "features", "heuristics_score"}
+    docs = {d["meta"]["text_id"]: d for d in json.loads(open(made[1]).read())["docs"]}
+    assert set(docs) == {"t1", "None"} and docs["t1"]["meta"] == {**meta, "level": "doc"} and docs["t1"]["label"] == 1
+
+
 def test_output_names():
     assert writers.output_names("/d/x_prepared.jsonl", None, "logits") == ("/d/x_logits_windows.jsonl", "/d/x_logits_doc.json")
 
@@ -74,7 +94,7 @@ def test_flow_from_file_to_features(spark, tmp_path):
     assert (tmp_path / "out.txt").read_text().count("--- WINDOW ---") > 1
     cli.main(["score", "--prepared_path", str(tmp_path / "out_prepared.jsonl"), "--with_heuristics", "--aggregate_doc"], spark)
     doc = json.loads((tmp_path / "out_heuristics_doc.json").read_text())
-    assert doc["meta"]["level"] == "doc" and 0 <= doc["heuristics_score"] <= 1 and doc["label"] == "0"
+    assert doc["meta"]["level"] == "doc" and 0 <= doc["heuristics_score"] <= 1 and doc["label"] == 0
     pair, single = scoring.byte_scorers(spark.createDataFrame([(text,)], "text string"))
     options = pipelines.ScoreOptions(aggregate_doc=True, observer=pair, performer=single, two_model=scoring.TwoModelOptions("io-pair", "io-single"), model=pair, model_id="io-pair")
     made = pipelines.score(spark, str(tmp_path / "out_prepared.jsonl"), options)

@@ -2,11 +2,13 @@
 
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import stats
+from textloom.functions import kernels, stats
 from textloom.functions import text as tx
+from textloom.operators import heuristics
 
 
 def value(spark, text, f):
@@ -68,20 +70,34 @@ def test_text_id_is_sha1(spark):
     assert value(spark, "Grüße", tx.text_id) == hashlib.sha1("Grüße".encode()).hexdigest()
 
 
-def tokens_value(spark, tokens, f):
-    return spark.createDataFrame([(tokens,)], "t array<string>").select(f(F.col("t")).alias("v")).first()["v"]
+def measures(tokens):
+    known = {}
+    return kernels.gram_measures(np.array([known.setdefault(t, len(known)) for t in tokens], np.int64))
 
 
-def test_repetition(spark):
-    assert tokens_value(spark, ["a"] * 3, stats.distinct_ngram_ratio) == 1.0
-    assert tokens_value(spark, ["a"] * 5, stats.distinct_ngram_ratio) == pytest.approx(1 / 3)
+def test_repetition():
+    assert measures(["a"] * 3)[0] == 1.0
+    assert measures(["a"] * 5)[0] == pytest.approx(1 / 3)
     block = [f"w{i}" for i in range(12)]
-    assert tokens_value(spark, block * 2, stats.longest_repeated_ngram) == 12
-    assert tokens_value(spark, (block * 2)[:23], stats.longest_repeated_ngram) == 11
-    assert tokens_value(spark, ["a", "a", "a", "a"], stats.longest_repeated_ngram) == 2
-    assert tokens_value(spark, block, stats.longest_repeated_ngram) == 0
-    assert tokens_value(spark, ["A b.", "a  B!", "?", "!"], stats.repeated_sentence_ratio) == 0.5
-    assert tokens_value(spark, ["A"], stats.repeated_sentence_ratio) == 0.0
+    assert measures(block * 2)[1] == 12
+    assert measures((block * 2)[:23])[1] == 11
+    assert measures(["a", "a", "a", "a"])[1] == 2
+    assert measures(block)[1] == 0
+    repeated = heuristics.FEATURES.index("repeated_sentence_ratio")
+    assert kernels.features("A b.\na  B!\n?\n!")[repeated] == 0.5
+    assert kernels.features("A")[repeated] == 0.0
+
+
+def test_grams_by_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        x = rng.integers(0, rng.integers(1, 12), rng.integers(0, 40)).tolist()
+        grams = {n: [tuple(x[i : i + n]) for i in range(len(x) - n + 1)] for n in range(2, 13)}
+        longest = 0
+        while longest < 12 and (n := max(2, longest + 1)) * 2 <= len(x) and len(set(grams[n])) < len(grams[n]):
+            longest = n
+        ratio = 1.0 if len(x) < 4 else len(set(grams[3])) / len(grams[3])
+        assert kernels.gram_measures(np.array(x, np.int64)) == (ratio, longest)
 
 
 def test_numbers(spark):
@@ -101,5 +117,6 @@ def test_numbers(spark):
 
 def test_nfkc_matches_python(spark):
     texts = [chr(c) + "a" for c in range(0xA0, 0x2300)]
-    made = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.nfkc(F.col("text")).alias("v")).collect()
-    assert all(r["v"] == unicodedata.normalize("NFKC", r["text"]) for r in made)
+    made = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.normalize_text(F.col("text")).alias("v")).collect()
+    breaks = str.maketrans(dict.fromkeys("\u2028\u2029", "\n"))
+    assert all(r["v"] == unicodedata.normalize("NFKC", r["text"]).translate(breaks).strip() for r in made)

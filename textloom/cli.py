@@ -59,7 +59,7 @@ def get_text(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.prepare_examples:
         options = PrepareOptions(a.max_estimated_tokens, a.overlap_estimated_tokens, normalize=a.normalize)
         path = os.path.splitext(out)[0] + "_prepared.jsonl"
-        write_jsonl(pipelines.prepared_files(files, options), path)
+        write_jsonl(pipelines.prepared_files(files, options).drop("seq"), path)
         print(f"Saved prepared examples to: {path}")
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import PUNCTUATION, STOPWORDS, normalize_sentence
+from textloom.functions.text import PUNCTUATION, STOPWORDS
 
 
 def clamp01(x: Column) -> Column:
@@ -34,34 +34,6 @@ def sample_variance(x: Column) -> Column:
     return F.when(F.size(x) < 2, F.lit(0.0)).otherwise(spread / (F.size(x) - 1))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens joined by blanks, which tokens don't hold."""
-    count = F.size(tokens) - (n - 1)
-    return F.when(count < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
-
-
-def distinct_ngram_ratio(tokens: Column, n: int = 3) -> Column:
-    """Distinct n-grams over n-grams; 1 where there are fewer than n + 1 tokens."""
-    return F.when(F.size(tokens) < n + 1, F.lit(1.0)).otherwise(F.size(F.array_distinct(ngrams(tokens, n))) / (F.size(tokens) - (n - 1)))
-
-
-def longest_repeated_ngram(tokens: Column, most: int = 12) -> Column:
-    """The largest n up to ``most`` for which an n-gram recurs; a case stops at the first n without one."""
-    out = None
-    for n in range(2, most + 1):
-        none = (F.size(tokens) < 2 * n) | (F.size(F.array_distinct(ngrams(tokens, n))) == F.size(tokens) - (n - 1))
-        value = F.lit(n - 1 if n > 2 else 0)
-        out = F.when(none, value) if out is None else out.when(none, value)
-    return out.otherwise(F.lit(most))
-
-
-def repeated_sentence_ratio(sents: Column) -> Column:
-    """Share of sentences that equal an earlier one once normalised; 0 for fewer than two."""
-    keys = F.transform(sents, normalize_sentence)
-    n = F.size(sents)
-    return F.when(n <= 1, F.lit(0.0)).otherwise((n - F.size(F.array_distinct(keys))) / n)
-
-
 def entropy_of_counts(counts: list[Column]) -> Column:
     """Base-2 entropy; 0 without counts."""
     total = reduce(lambda a, b: a + b, counts)

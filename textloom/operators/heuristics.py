@@ -2,72 +2,36 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from textloom.functions import stats
-from textloom.functions import text as tx
+from textloom.functions import kernels, stats
 from textloom.session import ship_package
 
 FEATURES = (
     "distinct_3gram_ratio longest_repeat_ngram repeated_sentence_ratio sentence_len_var punctuation_entropy stopword_ratio_var "
     "char_trigram_entropy word_entropy n_sentences n_words n_chars"
 ).split()
-#: Shorter texts have entropy 0: characters for trigrams, tokens for words.
-LEAST_CHARS, LEAST_WORDS = 20, 20
-_SPACES = re.compile(r"\s+")
-_MARKS = re.compile(r"[^\w\s]")
-
-
-def _entropy(items: list[str]) -> float:
-    counts = Counter(items).values()
-    total = sum(counts)
-    return math.log2(total) - sum(c * math.log2(c) for c in counts) / total
-
-
-@F.pandas_udf(StructType([StructField("trigram", DoubleType()), StructField("word", DoubleType())]))
-def text_entropies(texts: pd.Series) -> pd.DataFrame:
-    """Entropies of character trigrams and of words, in Arrow batches: measured faster than exploding in the JVM."""
-    rows = []
-    for t in texts:
-        low = (t or "").lower()
-        s, tokens = _SPACES.sub(" ", low).strip(), _MARKS.sub(" ", low).split()
-        tri = _entropy([s[i : i + 3] for i in range(len(s) - 2)]) if len(s) >= LEAST_CHARS else 0.0
-        rows.append((tri, _entropy(tokens) if len(tokens) >= LEAST_WORDS else 0.0))
-    return pd.DataFrame(rows, columns=["trigram", "word"])
-
-
-def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Sentences, tokens and tokens by sentence as columns, each made once."""
-    ship_package(df.sparkSession)
-    t = tx.text_or_empty(F.col(text))
-    parts = df.withColumns({"_sents": tx.sentences(t), "_toks": tx.words(t), "_ent": text_entropies(t)})
-    return parts.withColumn("_stoks", F.transform("_sents", tx.words))
-
-
-def features(text: str = "text") -> Column:
-    """The eleven features, from the columns of with_parts()."""
-    t, sents, toks, by_sent = tx.text_or_empty(F.col(text)), F.col("_sents"), F.col("_toks"), F.col("_stoks")
-    values = [
-        stats.distinct_ngram_ratio(toks),
-        stats.longest_repeated_ngram(toks),
-        stats.repeated_sentence_ratio(sents),
-        stats.sample_variance(F.transform(by_sent, lambda x: F.size(x).cast("double"))),
-        stats.punctuation_entropy(t),
-        stats.sample_variance(F.transform(by_sent, stats.stopword_ratio)),
-        F.col("_ent.trigram"),
-        F.col("_ent.word"),
-        F.size(sents),
-        F.size(toks),
-        F.length(t),
-    ]
-    return F.struct(*[v.alias(n) for n, v in zip(FEATURES, values, strict=True)])
+INTEGERS = ("longest_repeat_ngram", "n_sentences", "n_words", "n_chars")
+TYPE = StructType([StructField(n, IntegerType() if n in INTEGERS else DoubleType()) for n in FEATURES])
+
+
+def feature_struct(texts: pa.Array) -> pa.Array:
+    """The features of each text; null counts as empty."""
+    kinds = [pa.int32() if n in INTEGERS else pa.float64() for n in FEATURES]
+    rows = [kernels.features(t) for run in kernels.text_runs(texts) for t in run]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(FEATURES)
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(FEATURES))
+
+
+@F.arrow_udf(TYPE)
+def features(texts: pa.Array) -> pa.Array:
+    """The eleven features as a struct."""
+    return feature_struct(texts)
 
 
 def score(f: Column) -> Column:
@@ -83,34 +47,51 @@ def score(f: Column) -> Column:
 
 
 def window_features(prepared: DataFrame) -> DataFrame:
-    """label, seq, meta, features, heuristics_score of each prepared example."""
-    done = with_parts(prepared).withColumn("features", features())
-    return done.select("label", "seq", "meta", "features", score(F.col("features")).alias("heuristics_score"))
+    """label, seq, meta, features, heuristics_score of each prepared example. One visit to a worker for each text."""
+    ship_package(prepared.sparkSession)
+    own = prepared.select("label", "seq", "meta", "text")
+    schema = StructType([*own.schema.fields[:3], StructField("features", TYPE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], feature_struct(batch.column("text"))], names=schema.names)
+
+    return own.mapInArrow(run, schema).withColumn("heuristics_score", score(F.col("features")))
+
+
+def kept_meta(meta: StructType) -> list[str]:
+    """Fields of meta that a document row keeps, apart from text_id."""
+    return [n for n in meta.fieldNames() if n not in ("text_id", "window_index", "window_text_id", "window_estimated_tokens", "level")]
 
 
 def document_means(windows: DataFrame) -> DataFrame:
-    """Means by text_id; label and meta of the first window. Groups without an id are left out.
+    """Means by text_id; label and meta of the first window. Groups of an empty or null id are left out.
 
     The score is the mean of the windows' scores. Sums are partial before the one shuffle.
     """
+    kind = windows.schema["meta"].dataType
     order = F.struct("seq", F.coalesce("meta.window_index", F.lit(0)))
     means = F.struct(*[F.avg(F.col(f"features.{n}").cast("double")).alias(n) for n in FEATURES])
     grouped = windows.withColumn("text_id", F.col("meta.text_id")).filter("text_id <> ''").groupBy("text_id")
     docs = grouped.agg(means.alias("features"), F.avg("heuristics_score").alias("heuristics_score"), F.min_by(F.struct("label", "meta"), order).alias("first"), F.min("seq").alias("seq"))
-    meta = F.struct("text_id", "first.meta.estimated_tokens", "first.meta.extra", F.lit("doc").alias("level"))
+    meta = F.struct("text_id", *[F.col(f"first.meta.`{n}`") for n in kept_meta(kind)], F.lit("doc").alias("level"))
     return docs.select(F.col("first.label").alias("label"), "seq", meta.alias("meta"), "features", "heuristics_score")
 
 
 def compute_heuristics(prepared: DataFrame, aggregate_doc: bool = True) -> DataFrame:
     """Window rows, and with aggregate_doc document rows after them; meta.level tells them apart."""
     windows = window_features(prepared)
+    kind = windows.schema["meta"].dataType
     as_double = F.struct(*[F.col(f"features.{n}").cast("double").alias(n) for n in FEATURES])
-    full = lambda level, *extra: F.struct("meta.text_id", "meta.estimated_tokens", *extra, "meta.extra", F.lit(level).cast("string").alias("level"))
-    out = windows.withColumn("features", as_double).withColumn("meta", full(None, "meta.window_index", "meta.window_text_id", "meta.window_estimated_tokens"))
+    names = [n for n in kind.fieldNames() if n != "level"]
+    level = lambda v: F.lit(v).cast("string").alias("level")
+    out = windows.withColumn("features", as_double).withColumn("meta", F.struct(*[F.col(f"meta.`{n}`") for n in names], level(None)))
     if not aggregate_doc:
         return out
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("window_index", "int"), ("window_text_id", "string"), ("window_estimated_tokens", "int"))]
-    return out.unionByName(document_means(windows).withColumn("meta", full("doc", *none)))
+    docs = document_means(windows)
+    there = docs.schema["meta"].dataType.fieldNames()
+    full = [F.col(f"meta.`{n}`") if n in there else F.lit(None).cast(kind[n].dataType).alias(n) for n in names]
+    return out.unionByName(docs.withColumn("meta", F.struct(*full, level("doc"))))
 
 
 def by_level(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

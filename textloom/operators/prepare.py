@@ -1,19 +1,27 @@
 """Examples to prepared examples: filter, identifiers, windows. One lazy plan without a shuffle.
 
-An example has text, and optionally label, meta (map of strings) and seq (its place in the source). A prepared one has
-text, label, seq and meta, a struct of the identifiers and of what came as ``extra``.
+An example has text, and optionally label (of any type), meta and seq (its place in the source, of any type with an
+order). Meta is a map or a struct. A prepared example has text, label, seq and meta, a struct of the identifiers, the
+fields of a struct it came with, and a map it came with as ``extra``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from textloom.functions.text import estimated_tokens, normalize_text, packing_sentences, paragraphs, strip, tail, text_id, text_or_empty
+from textloom.functions import kernels
+from textloom.functions.text import estimated_tokens, text_id
 from textloom.session import ship_package
 
+IDENTIFIERS = ("text_id", "estimated_tokens", "window_index", "window_text_id", "window_estimated_tokens")
+PREPARED = "struct<keep: boolean, text_id: string, estimated_tokens: int, windows: array<string>>"
+
 
 @dataclass(frozen=True)
 class PrepareOptions:
@@ -24,13 +32,13 @@ class PrepareOptions:
 
 
 def examples(df: DataFrame) -> DataFrame:
-    """text, label, meta, seq with the types of an example, whichever of them the input has."""
+    """text, label, meta, seq, whichever of them the input has; what it lacks is null, without entries, or the order of its rows."""
     has = set(df.columns)
     return df.select(
         F.col("text"),
-        (F.col("label").cast("string") if "label" in has else F.lit(None).cast("string")).alias("label"),
-        (F.col("meta").cast("map<string,string>") if "meta" in has else F.create_map().cast("map<string,string>")).alias("meta"),
-        (F.col("seq").cast("long") if "seq" in has else F.monotonically_increasing_id()).alias("seq"),
+        (F.col("label") if "label" in has else F.lit(None).cast("string")).alias("label"),
+        (F.col("meta") if "meta" in has else F.create_map().cast("map<string,string>")).alias("meta"),
+        (F.col("seq") if "seq" in has else F.monotonically_increasing_id()).alias("seq"),
     )
 
 
@@ -39,45 +47,39 @@ def keep_text(normalized: Column, least: int = 80) -> Column:
     return (normalized != "") & (estimated_tokens(normalized) >= least)
 
 
-def packed_windows(normalized: Column, most: int) -> Column:
-    """Greedy packing of paragraphs, and of the sentences of paragraphs over the budget, as a fold over units.
-
-    A unit opens a window if it does not fit, if it is the first sentence of its paragraph, or if it is a paragraph
-    after sentences. The budget leaves separators out, and one unit may exceed it.
-    """
-    unit = lambda text, first, whole: F.struct(text.alias("text"), first.alias("first"), whole.alias("whole"))
-
-    def units_of(p: Column) -> Column:
-        parts = F.transform(packing_sentences(p), lambda s, i: unit(s, i == 0, F.lit(False)))
-        return F.when(estimated_tokens(p) > most, parts).otherwise(F.array(unit(p, F.lit(False), F.lit(True))))
+def split_into_windows(df: DataFrame, most: int, overlap: int = 0, text: str = "text", out: str = "windows") -> DataFrame:
+    """An array of windows for each text."""
+    ship_package(df.sparkSession)
 
-    units = F.flatten(F.transform(paragraphs(normalized), units_of))
-    state = lambda done, now, used, whole: F.struct(done.alias("done"), now.alias("now"), used.alias("used"), whole.alias("whole"))
-    nothing = state(F.array().cast("array<string>"), F.lit(""), F.lit(0), F.lit(True))
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        rows = [kernels.windows(kernels.normal_form(t), most, overlap) for run in kernels.text_runs(texts) for t in run]
+        return pa.array(rows, pa.list_(pa.string()))
 
-    def step(a: Column, u: Column) -> Column:
-        cost = estimated_tokens(u.text)
-        fresh = (a.now != "") & (u.first | (u.whole & ~a.whole) | (a.used + cost > most))
-        joined = F.when(fresh | (a.now == ""), u.text).otherwise(F.concat(a.now, F.when(u.whole, F.lit("\n\n")).otherwise(F.lit(" ")), u.text))
-        return state(F.when(fresh, F.concat(a.done, F.array(a.now))).otherwise(a.done), joined, F.when(fresh, cost).otherwise(a.used + cost), u.whole)
+    return df.withColumn(out, cut(F.col(text)))
 
-    packed = F.aggregate(units, nothing, step, lambda a: F.when(a.now == "", a.done).otherwise(F.concat(a.done, F.array(a.now))))
-    return F.when(normalized == "", F.array().cast("array<string>")).when(estimated_tokens(normalized) <= most, F.array(normalized)).otherwise(packed)
 
+def prepared_texts(o: PrepareOptions):
+    """A UDF for all that preparing makes of a text, in one visit to a worker. Marked so that filters don't repeat it."""
 
-def overlapped(windows: Column, tokens: int) -> Column:
-    """Each window after the first gets the end of the one before it, as that was, in front."""
-    if tokens <= 0:
-        return windows
-    return F.transform(windows, lambda w, i: F.when(i == 0, w).otherwise(strip(F.concat(tail(F.get(windows, i - 1), 4 * tokens), F.lit("\n\n"), w))))
+    def one(raw: str) -> tuple:
+        normal = kernels.normal_form(raw)
+        text = normal if o.normalize else raw
+        if not normal or kernels.token_estimate(normal) < o.min_estimated_tokens:
+            return False, None, None, None
+        cut = [text] if o.max_estimated_tokens is None else [w for w in kernels.windows(normal, o.max_estimated_tokens, o.overlap_estimated_tokens) if w]
+        return True, hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest(), kernels.token_estimate(text), cut
 
+    @F.arrow_udf(PREPARED)
+    def run(texts: pa.Array) -> pa.Array:
+        chunks = []
+        for part in kernels.text_runs(texts):
+            columns = zip(*map(one, part), strict=True)
+            kinds = (pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.string()))
+            chunks.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["keep", "text_id", "estimated_tokens", "windows"]))
+        return pa.concat_arrays(chunks) if chunks else pa.array([], pa.struct([("keep", pa.bool_()), ("text_id", pa.string()), ("estimated_tokens", pa.int32()), ("windows", pa.list_(pa.string()))]))
 
-def split_into_windows(df: DataFrame, most: int, overlap: int = 0, text: str = "text", out: str = "windows") -> DataFrame:
-    """An array of windows for each text."""
-    ship_package(df.sparkSession)
-    plain = df.withColumn("_normal", normalize_text(F.col(text))).withColumn("_packed", packed_windows(F.col("_normal"), most))
-    full = plain.withColumn(out, F.filter(overlapped(F.col("_packed"), overlap), lambda w: w != ""))
-    return full.drop("_normal", "_packed")
+    return run.asNondeterministic()
 
 
 def prepare(df: DataFrame, options: PrepareOptions | None = None, observation: Observation | None = None) -> DataFrame:
@@ -85,18 +87,15 @@ def prepare(df: DataFrame, options: PrepareOptions | None = None, observation: O
     ship_package(df.sparkSession)
     o = options or PrepareOptions()
     own = examples(df)
-    text = normalize_text(F.col("text")) if o.normalize else text_or_empty(F.col("text"))
-    kept = own.withColumn("text", text).withColumn("_normal", normalize_text(F.col("text")))
-    keep = keep_text(F.col("_normal"), o.min_estimated_tokens)
+    kind = own.schema["meta"].dataType
+    fields = [F.col(f"meta.`{n}`").alias(n) for n in kind.fieldNames() if n not in IDENTIFIERS] if isinstance(kind, StructType) else [F.col("meta").alias("extra")]
+    made = own.select("label", "seq", F.struct(*fields).alias("own"), prepared_texts(o)(F.col("text")).alias("made"))
     if observation is not None:
-        kept = kept.observe(observation, F.count("*").alias("examples"), F.count_if(~keep).alias("dropped"))
-    kept = kept.filter(keep)
-    base = [text_id(F.col("text")).alias("text_id"), estimated_tokens(F.col("text")).alias("estimated_tokens")]
+        made = made.observe(observation, F.count("*").alias("examples"), F.count_if(~F.col("made.keep")).alias("dropped"))
+    each = made.filter("made.keep").select("label", "seq", "own", "made.text_id", "made.estimated_tokens", F.posexplode("made.windows").alias("at", "text"))
+    window = [F.col("at"), text_id(F.col("text")), estimated_tokens(F.col("text"))]
     if o.max_estimated_tokens is None:
-        none = [F.lit(None).cast("int").alias("window_index"), F.lit(None).cast("string").alias("window_text_id"), F.lit(None).cast("int").alias("window_estimated_tokens")]
-        return kept.select("text", "label", "seq", F.struct(*base, *none, F.col("meta").alias("extra")).alias("meta"))
-    packed = kept.withColumn("_packed", packed_windows(F.col("_normal"), o.max_estimated_tokens))
-    windows = F.filter(overlapped(F.col("_packed"), o.overlap_estimated_tokens), lambda w: w != "")
-    each = packed.select("label", "seq", F.struct(*base).alias("base"), F.col("meta").alias("extra"), F.posexplode(windows).alias("window_index", "window"))
-    meta = F.struct("base.text_id", "base.estimated_tokens", "window_index", text_id(F.col("window")).alias("window_text_id"), estimated_tokens(F.col("window")).alias("window_estimated_tokens"), "extra")
-    return each.select(F.col("window").alias("text"), "label", "seq", meta.alias("meta"))
+        window = [F.lit(None).cast(t) for t in ("int", "string", "int")]
+    ids = [c.alias(n) for c, n in zip([F.col("text_id"), F.col("estimated_tokens"), *window], IDENTIFIERS, strict=True)]
+    meta = F.struct(*ids, *[F.col(f"own.`{f.name}`") for f in made.schema["own"].dataType.fields])
+    return each.select("text", "label", "seq", meta.alias("meta"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import normalize_text
 from textloom.operators import aggregate, heuristics, scoring
 from textloom.operators.prepare import PrepareOptions, prepare, split_into_windows
-from textloom.sources.readers import read_files, read_jsonl
+from textloom.sources.readers import read_files, read_prepared
 from textloom.sources.writers import output_names, write_documents, write_jsonl
 
 #: Fixed value: what stands between windows in one text.
@@ -28,7 +28,7 @@ def normalized_files(spark: SparkSession, path: str, most: int | None = None, ov
 
 def prepared_files(files: DataFrame, options: PrepareOptions) -> DataFrame:
     """Prepared examples of the raw texts, labelled 0, without metadata of their own."""
-    raw = files.select(F.col("raw").alias("text"), F.lit("0").alias("label"), "seq")
+    raw = files.select(F.col("raw").alias("text"), F.lit(0).alias("label"), "seq")
     return prepare(raw, options)
 
 
@@ -47,7 +47,7 @@ class ScoreOptions:
 
 def score(spark: SparkSession, prepared_path: str, o: ScoreOptions) -> list[str]:
     """Write the feature files that are asked for; their paths."""
-    prepared, out = read_jsonl(spark, prepared_path), []
+    prepared, out = read_prepared(spark, prepared_path), []
 
     def keep(kind: str, rows: DataFrame, docs: DataFrame | None, skip_empty: bool) -> None:
         windows_path, doc_path = output_names(prepared_path, o.out_dir, kind)

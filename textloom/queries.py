@@ -31,7 +31,7 @@ def spread(df: DataFrame) -> DataFrame:
 def paragraphed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as examples, each line a paragraph, labels attached, doc_id as source order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("label"))
     return spread(docs).join(labels, "doc_id", "left").select("text", "label", F.col("doc_id").alias("seq"))
 
 
@@ -269,8 +269,8 @@ SELECT doc_id, round(coalesce(list_entropy(regexp_extract_all(text, '[.,;:!?()\\
 round(CASE WHEN len(k) < 20 THEN 0.0 ELSE list_entropy(k) END, {DECIMALS}) AS word_entropy,
 round(CASE WHEN len(k) = 0 THEN 0.0 ELSE len(list_filter(k, lambda y: list_contains({list(tx.STOPWORDS)}, y))) / len(k) END, {DECIMALS}) AS stopword_ratio FROM d""")
 def document_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumns({"k": tx.words(F.col("text")), "e": heuristics.text_entropies(F.col("text"))})
-    values = {"punctuation_entropy": stats.punctuation_entropy(F.col("text")), "word_entropy": F.col("e.word"), "stopword_ratio": stats.stopword_ratio(F.col("k"))}
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumns({"k": tx.words(F.col("text")), "e": heuristics.features(F.col("text"))})
+    values = {"punctuation_entropy": stats.punctuation_entropy(F.col("text")), "word_entropy": F.col("e.word_entropy"), "stopword_ratio": stats.stopword_ratio(F.col("k"))}
     return docs.select("doc_id", *[F.round(v, DECIMALS).alias(n) for n, v in values.items()])
 
 
@@ -366,10 +366,10 @@ Q_JSON = f"WITH RECURSIVE {Q_WINDOWS} SELECT text_id, window_index, label, sha1(
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared windows written as lines of JSON and read back."""
     from textloom.session import Workspace
-    from textloom.sources.readers import read_jsonl
+    from textloom.sources.readers import read_prepared
     from textloom.sources.writers import write_jsonl
 
     work = Workspace(spark, "jsonl")
     write_jsonl(windows(spark, sf_dir), work.path("prepared"))
-    rows = read_jsonl(spark, work.path("prepared"))
-    return rows.select("meta.text_id", "meta.window_index", "label", tx.text_id(F.col("text")).alias("window_text_id"), F.length("text").cast("long").alias("n"))
+    rows = read_prepared(spark, work.path("prepared"))
+    return rows.select("meta.text_id", "meta.window_index", F.try_variant_get("label", "$", "string").alias("label"), tx.text_id(F.col("text")).alias("window_text_id"), F.length("text").cast("long").alias("n"))
