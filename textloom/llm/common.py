@@ -77,6 +77,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Rows that a join may broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of a few narrow columns, to be broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     taken = {n.lower() for n in df.columns}

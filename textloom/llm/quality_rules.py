@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import free_name, pick, text_slices, word_hashes
+from textloom.llm.common import free_name, pick, sized, text_slices, word_hashes
 from textloom.session import ship_package
 
 BUCKETS, THRESHOLD, MIN_WORDS = 65521, -0.5, 50
@@ -68,27 +68,24 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, raw, target) over all documents."""
     ship_package(docs.sparkSession)
-    trusted = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    flagged = pick(docs, "doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left")
+    own = pick(docs, "doc_id", "text")
+    trusted = labels.filter("quality = 1").select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            trusted = batch.column("trusted").to_pylist()
-            for a, b, texts in text_slices(batch.column("text")):
-                for text, good in zip(texts, trusted[a:b], strict=True):
-                    n = np.bincount(trigram_buckets(text), minlength=BUCKETS) if len(text) > BUCKETS // 8 else None
-                    at = None if n is not None else np.unique(trigram_buckets(text), return_counts=True)
-                    for total in (raw, target) if good else (raw,):
-                        if n is not None:
-                            total += n
-                        else:
-                            total[at[0]] += at[1]
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
-
-    counts = flagged.mapInArrow(run, "bucket int, raw long, target long")
-    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+            for _, _, texts in text_slices(batch.column("text")):
+                total += np.bincount(np.concatenate([trigram_buckets(t) for t in texts]), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
+
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("text").mapInArrow(run, "bucket int, n long").select("bucket", F.lit(name).alias("kind"), "n")
+
+    # trusted texts are read once more rather than joined to a flag: raw counts then never shuffle a text
+    both = count(own, "raw").unionByName(count(own.join(sized(trusted), "doc_id", "left_semi"), "target"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind)
+    return both.groupBy("bucket").agg(of("raw"), of("target"))
 
 
 def ratio_table(counts: DataFrame) -> np.ndarray | None:
