@@ -95,7 +95,7 @@ def test_flow_from_file_to_features(spark, tmp_path):
     cli.main(["score", "--prepared_path", str(tmp_path / "out_prepared.jsonl"), "--with_heuristics", "--aggregate_doc"], spark)
     doc = json.loads((tmp_path / "out_heuristics_doc.json").read_text())
     assert doc["meta"]["level"] == "doc" and 0 <= doc["heuristics_score"] <= 1 and doc["label"] == 0
-    pair, single = scoring.byte_scorers(spark.createDataFrame([(text,)], "text string"))
+    pair, single, _ = scoring.byte_scorers(spark.createDataFrame([(text,)], "text string"))
     options = pipelines.ScoreOptions(aggregate_doc=True, observer=pair, performer=single, two_model=scoring.TwoModelOptions("io-pair", "io-single"), model=pair, model_id="io-pair")
     made = pipelines.score(spark, str(tmp_path / "out_prepared.jsonl"), options)
     assert len(made) == 4 and "mean_mean_logprob" in json.loads((tmp_path / "out_logits_doc.json").read_text())["logits_features"]

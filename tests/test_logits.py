@@ -57,7 +57,8 @@ def test_masked_labels_do_not_count(spark):
 
 def test_scorers(spark):
     docs = spark.createDataFrame([("ab" * 5000,), ("ab",), (None,), ("",)], "text string")
-    pair, single = scoring.byte_scorers(docs)
+    pair, single, digest = scoring.byte_scorers(docs)
+    assert digest == scoring.byte_scorers(docs)[2] != scoring.byte_scorers(docs.limit(0))[2]
     prepared = docs.withColumns({"label": F.lit(None).cast("string"), "seq": F.lit(0), "meta": F.struct(F.lit("t").alias("text_id"))})
     rows = scoring.logits_features(prepared, pair, "test-pair", timed=True).collect()
     assert [r["logits_features"]["n_tokens"] for r in rows] == [512, 2, 0, 0]
@@ -81,7 +82,7 @@ def test_byte_queries_score_whole_windows(spark):
     made = {(r["seq"], r["window_index"]): r["n_tokens"] for r in queries.scored_windows(spark, folder).collect()}
     assert made == sizes and max(sizes.values()) > 512
     # scores of documents, from the logits of whole windows one by one
-    pair, single = (f() for f in scoring.byte_scorers(queries.table(spark, folder, "documents")))
+    pair, single = (f() for f in scoring.byte_scorers(queries.table(spark, folder, "documents"))[:2])
     wanted = {}
     for r in queries.windows(spark, folder).select("meta.text_id", "text").collect():
         ids = list(r["text"].encode())
@@ -90,7 +91,7 @@ def test_byte_queries_score_whole_windows(spark):
     rows = {r["text_id"]: r for r in queries.two_model_windows(spark, folder).collect()}
     assert rows.keys() == wanted.keys()
     for k, parts in wanted.items():
-        assert (rows[k]["mean_score_obs_raw"], rows[k]["mean_xent_mean"]) == pytest.approx(tuple(np.mean(parts, axis=0)), abs=1e-5)
+        assert (rows[k]["score_obs_raw"], rows[k]["xent_mean"]) == pytest.approx(tuple(np.mean(parts, axis=0)), abs=1e-5)
 
 
 def test_look_up_equals_logits():
@@ -103,3 +104,77 @@ def test_look_up_equals_logits():
             assert tables.summarize(ids) == pytest.approx(scoring.summarize(ids, s.logits([ids])[0] if n else np.zeros((0, 1))))
     ids = [*rng.integers(0, 256, 3000).tolist(), 256]
     assert scoring.TwoTokenTables(a.by_token(), b.by_token(), 256).row(ids) == pytest.approx(scoring.two_model_row(ids, a.logits([ids])[0], b.logits([ids])[0], 256))
+
+
+def test_workers_keep_a_few_scorers():
+    made = [scoring.loaded(lambda i=i: f"scorer {i}", f"keep-{i}") for i in range(scoring.MOST_LOADED + 2)]
+    assert made[-1] == "scorer 5" and len(scoring._loaded) == scoring.MOST_LOADED and "keep-0" not in scoring._loaded
+
+
+class Tensor:
+    """As much of a tensor as the scorer asks for."""
+
+    def __init__(self, x):
+        self.x = np.asarray(x)
+
+    float = cpu = lambda self: self
+
+    def numpy(self):
+        return self.x
+
+
+def test_transformers_scorer_on_a_stub(monkeypatch):
+    """A model whose logits are one for each token, and 9 at its successor; padding and masks as asked for."""
+    import contextlib
+    import sys
+    import types
+
+    calls = []
+
+    class Tokenizer:
+        pad_token, eos_token, pad_token_id = None, "</s>", 7
+
+        def __call__(self, text, truncation, max_length):
+            ids = [ord(c) - 97 for c in text]
+            return {"input_ids": ids[:max_length] if truncation else ids}
+
+        def get_vocab(self):
+            return {chr(97 + i): i for i in range(8)}
+
+    class Model:
+        def to(self, device):
+            calls.append(device)
+            return self
+
+        def eval(self):
+            return self
+
+        def __call__(self, input_ids, attention_mask):
+            calls.append((input_ids.x.tolist(), attention_mask.x.tolist()))
+            return types.SimpleNamespace(logits=Tensor(np.eye(8)[(input_ids.x + 1) % 8] * 9))
+
+    torch = types.ModuleType("torch")
+    torch.cuda, torch.float32, torch.bfloat16 = types.SimpleNamespace(is_available=lambda: False), "float32", "bfloat16"
+    torch.tensor, torch.inference_mode = lambda x, device: Tensor(x), contextlib.nullcontext
+    library = types.ModuleType("transformers")
+    library.AutoTokenizer = types.SimpleNamespace(from_pretrained=lambda name, token: Tokenizer())
+    library.AutoModelForCausalLM = types.SimpleNamespace(from_pretrained=lambda name, torch_dtype, token: calls.append((name, torch_dtype)) or Model())
+    monkeypatch.setitem(sys.modules, "torch", torch)
+    monkeypatch.setitem(sys.modules, "transformers", library)
+    scorer = scoring.transformers_scorer("some-model", bfloat16=True)()
+    assert calls[:2] == [("some-model", "float32"), "cpu"] and scorer.tokenizer.pad_token == "</s>"
+    assert scorer.encode("abcdef", 4) == [0, 1, 2, 3] and scorer.encode("abcdef", None) == [0, 1, 2, 3, 4, 5]
+    x, y = scorer.logits([[0, 1, 2], [4, 4]])
+    assert calls[2] == ([[0, 1, 2], [4, 4, 7]], [[1, 1, 1], [1, 1, 0]]) and x.shape == (3, 8) and y.shape == (2, 8)
+    assert scoring.summarize([0, 1, 2], x)[0] == pytest.approx(-np.log1p(7 * np.exp(-9)))
+    nll, other, cross = scoring.two_model_row([0, 1, 2], x, x, scorer.pad_token_id)
+    assert nll == other == pytest.approx(np.log1p(7 * np.exp(-9))) and cross > nll
+    scoring.check_same_vocabulary(scorer, scoring.transformers_scorer("other")())
+
+
+def test_transformers_scorer_names_what_is_missing(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "torch", None)
+    with pytest.raises(RuntimeError, match="torch"):
+        scoring.transformers_scorer("some-model")()

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from textloom import session
 
 
@@ -26,6 +28,16 @@ def test_own_folder_where_none_is_set(spark):
     assert a == b and a.startswith("file:///") and os.path.isdir(a.removeprefix("file://"))
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster(Unset):
+        def __init__(self, spark):
+            super().__init__(spark)
+            self.sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Cluster(spark))
+
+
 def test_workspace(spark):
     work = session.Workspace(Unset(spark), "test")
     made = work.save(spark.range(5).repartition(2), "five")

@@ -164,7 +164,7 @@ def features(t: str) -> tuple:
     ratio, longest = gram_measures(ids)
     again = 0.0
     if len(sentences) > 1:
-        again = 1 - len({" ".join(s.split()).strip(SENTENCE_TRIM) for s in sentences}) / len(sentences)
+        again = (len(sentences) - len({" ".join(s.split()).strip(SENTENCE_TRIM) for s in sentences})) / len(sentences)
     marks = np.array([c for c in map(t.count, PUNCTUATION) if c], float)
     stops = [sum(map(STOP.__contains__, s)) / len(s) if s else 0.0 for s in by_sentence]
     words = entropy(np.bincount(ids).astype(float)) if len(tokens) >= LEAST_WORDS else 0.0

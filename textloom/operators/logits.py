@@ -17,11 +17,15 @@ EPSILON = 1e-8
 SUMMARY = "mean_logprob std_logprob p10_logprob p50_logprob p90_logprob mean_entropy mean_top1_prob frac_top1_gt_0p8 mean_top1_margin frac_true_in_top10".split()
 
 
-def shifted(positions: DataFrame) -> DataFrame:
-    """Each position with the token and the mask of the next one; the last goes."""
+def with_next(positions: DataFrame) -> DataFrame:
+    """Each position with the token and the mask of the next one, which the last has not."""
     after = Window.partitionBy("seq_id").orderBy("pos")
-    ahead = positions.withColumns({"label": F.lead("token").over(after), "label_attended": F.lead("attended").over(after), "_n": F.count("*").over(Window.partitionBy("seq_id"))})
-    return ahead.filter("label is not null")
+    return positions.withColumns({"label": F.lead("token").over(after), "label_attended": F.lead("attended").over(after)})
+
+
+def shifted(positions: DataFrame) -> DataFrame:
+    """Positions with the token and the mask of the next one; the last goes."""
+    return with_next(positions).filter("label is not null")
 
 
 def token_statistics(labelled: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def summarize_logits(positions: DataFrame) -> DataFrame:
     """
     ok = F.col("label_attended")
     on = lambda c: F.when(ok, F.col(c))
-    tokens = token_statistics(shifted(positions))
+    tokens = token_statistics(with_next(positions))  # the last position only counts
     rows = tokens.groupBy("seq_id").agg(
         F.avg(on("logprob")).alias("mean_logprob"),
         F.stddev_pop(on("logprob")).alias("std_logprob"),
@@ -50,13 +54,12 @@ def summarize_logits(positions: DataFrame) -> DataFrame:
         F.avg(on("top1_margin")).alias("mean_top1_margin"),
         F.avg(F.when(ok, F.col("in_top10").cast("double"))).alias("frac_true_in_top10"),
         F.count(on("logprob")).alias("_labels"),
-        F.max("_n").alias("_n"),
+        F.count("*").alias("_n"),
     )
     quantiles = {f"p{p}_logprob": F.get("_q", F.lit(i)) for i, p in enumerate((10, 50, 90))}
     short = F.col("_n") < 3
-    full = rows.withColumns(quantiles).select("seq_id", *[F.when(short, F.lit(0.0)).otherwise(F.coalesce(n, F.lit(0.0))).alias(n) for n in SUMMARY], F.when(short, F.col("_n")).otherwise(F.col("_labels") + 1).cast("int").alias("n_tokens"))
-    single = positions.groupBy("seq_id").agg(F.count("*").alias("c")).filter("c = 1").select("seq_id", *[F.lit(0.0).alias(n) for n in SUMMARY], F.lit(1).alias("n_tokens"))
-    return full.unionByName(single)
+    names = [F.when(short, F.lit(0.0)).otherwise(F.coalesce(n, F.lit(0.0))).alias(n) for n in SUMMARY]
+    return rows.withColumns(quantiles).select("seq_id", *names, F.when(short, F.col("_n")).otherwise(F.col("_labels") + 1).cast("int").alias("n_tokens"))
 
 
 def two_model_scores(positions: DataFrame, pad_token_id: int, mode: str = "low-fpr", temperature: float = 1.0) -> DataFrame:

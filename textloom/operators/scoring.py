@@ -7,6 +7,7 @@ tables by Spark; models of the transformers library plug in through ``transforme
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -51,13 +52,16 @@ class TwoModelOptions:
         return LOW_FPR_THRESHOLD if self.mode == "low-fpr" else ACCURACY_THRESHOLD
 
 
-_loaded: dict[int, Scorer] = {}
+#: Scorers that a worker keeps loaded, the latest used.
+MOST_LOADED = 4
+_loaded: dict[str, Scorer] = {}
 
 
 def loaded(factory: Callable[[], Scorer], key: str) -> Scorer:
-    """The worker's scorer of this key."""
-    if key not in _loaded:
-        _loaded[key] = factory()
+    """The worker's scorer of this key, which has to tell its content as well as its kind."""
+    _loaded[key] = _loaded.pop(key, None) or factory()
+    while len(_loaded) > MOST_LOADED:
+        _loaded.pop(next(iter(_loaded)))
     return _loaded[key]
 
 
@@ -224,8 +228,11 @@ class ByteScorer:
         return self.table if self.after else np.broadcast_to(self.table, (257, 257))
 
 
-def byte_scorers(docs: DataFrame) -> tuple[Callable[[], Scorer], Callable[[], Scorer]]:
-    """Factories of a byte-pair and a single-byte scorer, from counts over all texts (at most 65,536 rows reach the driver)."""
+def byte_scorers(docs: DataFrame) -> tuple[Callable[[], Scorer], Callable[[], Scorer], str]:
+    """Factories of a byte-pair and a single-byte scorer, from counts over all texts (at most 65,536 rows reach the driver).
+
+    The third value is a digest of the counts, for the scorers' keys.
+    """
     ship_package(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +249,8 @@ def byte_scorers(docs: DataFrame) -> tuple[Callable[[], Scorer], Callable[[], Sc
     for r in rows:
         pairs[r["pair"]] = r["n"]
     pairs = pairs.reshape(256, 256)
-    return (lambda: ByteScorer(pairs, True)), (lambda: ByteScorer(pairs.sum(axis=0, keepdims=True), False))
+    digest = hashlib.sha1(pairs.tobytes()).hexdigest()[:16]
+    return (lambda: ByteScorer(pairs, True)), (lambda: ByteScorer(pairs.sum(axis=0, keepdims=True), False)), digest
 
 
 def transformers_scorer(model_id: str, device: str | None = None, bfloat16: bool = False, token_env: str = "HF_TOKEN") -> Callable[[], Scorer]:

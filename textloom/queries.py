@@ -338,25 +338,45 @@ def two_model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> tuple:
     from textloom.operators import scoring
 
-    pair, single = scoring.byte_scorers(table(spark, sf_dir, "documents"))
-    return scoring, pair, single, windows(spark, sf_dir)
-
-
-@query()
+    return scoring, *scoring.byte_scorers(table(spark, sf_dir, "documents")), windows(spark, sf_dir)
+
+
+# Byte models: counts of byte pairs over all documents, then a row for each byte of a window with the byte before it.
+Q_BYTES = f"""WITH RECURSIVE {Q_WINDOWS},
+dx AS (SELECT hex(encode(text)) AS h FROM documents),
+db AS (SELECT ('0x' || h[2 * i - 1:2 * i])::INT AS a, ('0x' || h[2 * i + 1:2 * i + 2])::INT AS b FROM (SELECT h, unnest(range(1, len(h) // 2)) AS i FROM dx)),
+dc AS (SELECT a, b, count(*) AS n FROM db GROUP BY a, b),
+bv AS (SELECT unnest(range(0, 256))::INT AS v),
+lp AS (SELECT x.v AS a, y.v AS b, ln(coalesce(n, 0) + 1.0) AS l FROM bv x CROSS JOIN bv y LEFT JOIN dc ON dc.a = x.v AND dc.b = y.v UNION ALL SELECT v, 256, -30.0 FROM bv),
+zp AS (SELECT a, ln(sum(exp(l))) AS z FROM lp GROUP BY a),
+pp AS (SELECT a, b, l - z AS logp, (count(*) OVER (PARTITION BY a ORDER BY l DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY a, l)) < 10 AS top FROM lp JOIN zp USING (a)),
+ls AS (SELECT v AS b, ln(coalesce(sum(n), 0) + 1.0) AS l FROM bv LEFT JOIN dc ON dc.b = v GROUP BY v UNION ALL SELECT 256, -30.0),
+ps AS (SELECT b, l - (SELECT ln(sum(exp(l))) FROM ls) AS logq FROM ls),
+pr AS (SELECT a, -sum(exp(logp) * logp) AS entropy, exp(max(logp)) AS top1, (max(logp, 2))[1] - (max(logp, 2))[2] AS margin, -sum(exp(logp) * logq) AS cross_ FROM pp JOIN ps USING (b) GROUP BY a),
+wx AS (SELECT seq, text_id, window_index, hex(encode(text)) AS h FROM wd),
+wb AS (SELECT seq, text_id, window_index, ('0x' || h[2 * i - 1:2 * i])::INT AS a, ('0x' || h[2 * i + 1:2 * i + 2])::INT AS b FROM (SELECT *, unnest(range(1, len(h) // 2)) AS i FROM wx)),
+ws AS (SELECT * FROM wb JOIN pp USING (a, b) JOIN pr USING (a) JOIN ps USING (b))"""
+
+
+@query(f"""{Q_BYTES}, g AS (SELECT seq, window_index, avg(logp) AS mean_logprob, stddev_pop(logp) AS std_logprob, quantile_cont(logp, 0.1) AS p10_logprob, quantile_cont(logp, 0.5) AS p50_logprob, quantile_cont(logp, 0.9) AS p90_logprob,
+  avg(entropy) AS mean_entropy, avg(top1) AS mean_top1_prob, avg((top1 > 0.8)::INT) AS frac_top1_gt_0p8, avg(margin) AS mean_top1_margin, avg(top::INT) AS frac_true_in_top10 FROM ws GROUP BY seq, window_index)
+SELECT wx.seq, wx.window_index, {', '.join(f'round(CASE WHEN len(h) < 6 THEN 0.0 ELSE {n} END, {DECIMALS}) AS {n}' for n in logits.SUMMARY)}, (len(h) // 2)::INT AS n_tokens FROM wx LEFT JOIN g USING (seq, window_index)""")
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logit features of each whole window under a byte-pair model counted over all documents."""
-    scoring, pair, _, prepared = scored(spark, sf_dir)
-    rows = scoring.logits_features(prepared, pair, f"pair:{sf_dir}", max_tokens=None)
+    scoring, pair, _, digest, prepared = scored(spark, sf_dir)
+    rows = scoring.logits_features(prepared, pair, f"pair:{digest}", max_tokens=None)
     return rows.select("seq", "meta.window_index", *[rounded(f"logits_features.{n}") for n in logits.SUMMARY], "logits_features.n_tokens")
 
 
-@query()
+@query(f"""{Q_BYTES}, g AS (SELECT seq, window_index, -avg(logp) AS o, -avg(logq) AS p, avg(cross_) AS x FROM ws GROUP BY seq, window_index),
+w AS (SELECT text_id, coalesce(o, 0.0) / (coalesce(x, 0.0) + 1e-8) AS score_obs_raw, coalesce(p, 0.0) / (coalesce(x, 0.0) + 1e-8) AS score_perf_raw, coalesce(x, 0.0) AS xent_mean FROM wx LEFT JOIN g USING (seq, window_index))
+SELECT text_id, round(avg(score_obs_raw), {DECIMALS}) AS score_obs_raw, round(avg(score_perf_raw), {DECIMALS}) AS score_perf_raw, round(avg(xent_mean), {DECIMALS}) AS xent_mean, round({logits.LOW_FPR_THRESHOLD}, {DECIMALS}) AS threshold FROM w GROUP BY text_id""")
 def two_model_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-model features of each whole window, means by document."""
-    scoring, pair, single, prepared = scored(spark, sf_dir)
-    rows = scoring.two_model_features(prepared, pair, single, scoring.TwoModelOptions(f"pair:{sf_dir}", f"single:{sf_dir}", max_tokens=None))
+    scoring, pair, single, digest, prepared = scored(spark, sf_dir)
+    rows = scoring.two_model_features(prepared, pair, single, scoring.TwoModelOptions(f"pair:{digest}", f"single:{digest}", max_tokens=None))
     done = aggregate.aggregate_documents(rows, "binoculars_features")
-    return done.select("meta.text_id", *[rounded(f"binoculars_features.mean_{n}") for n in ("score_obs_raw", "score_perf_raw", "xent_mean", "threshold")])
+    return done.select("meta.text_id", *[rounded(f"binoculars_features.mean_{n}").alias(n) for n in ("score_obs_raw", "score_perf_raw", "xent_mean", "threshold")])
 
 
 Q_JSON = f"WITH RECURSIVE {Q_WINDOWS} SELECT text_id, window_index, label, sha1(text) AS window_text_id, length(text)::BIGINT AS n FROM wd"

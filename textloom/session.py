@@ -48,10 +48,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all machines share: spark.checkpoint.dir, or on one machine a folder of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # a setting of Spark's core can't be changed in a running session
         sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         if not getattr(sc, "_textloom_folder", None):
             sc._textloom_folder = "file://" + tempfile.mkdtemp(prefix="textloom-shared-")
         base = sc._textloom_folder
