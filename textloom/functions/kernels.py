@@ -104,8 +104,10 @@ def windows(normal: str, most: int, overlap: int = 0) -> list[str]:
 
 def entropy(counts: np.ndarray) -> float:
     """Base-2 entropy of positive counts; 0 without any."""
-    total = counts.sum()
-    return float(np.log2(total) - (counts * np.log2(counts)).sum() / total) if total else 0.0
+    if not len(counts):
+        return 0.0
+    p = counts / counts.sum()
+    return abs(float((p * np.log2(p)).sum()))
 
 
 def runs_in_order(keys: np.ndarray) -> np.ndarray:
@@ -167,5 +169,5 @@ def features(t: str) -> tuple:
         again = (len(sentences) - len({" ".join(s.split()).strip(SENTENCE_TRIM) for s in sentences})) / len(sentences)
     marks = np.array([c for c in map(t.count, PUNCTUATION) if c], float)
     stops = [sum(map(STOP.__contains__, s)) / len(s) if s else 0.0 for s in by_sentence]
-    words = entropy(np.bincount(ids).astype(float)) if len(tokens) >= LEAST_WORDS else 0.0
+    words = entropy(np.bincount(ids)) if len(tokens) >= LEAST_WORDS else 0.0
     return (ratio, longest, again, sample_variance([float(len(s)) for s in by_sentence]), entropy(marks), sample_variance(stops), trigram_entropy(low), words, len(sentences), len(tokens), len(t))
