@@ -286,11 +286,12 @@ def test_classes_that_centres_reject_meet_all_others(spark):
             rows.append((2 * i + j, 100, [*shared, *own], marks))
     classes = spark.createDataFrame(rows, "rep long, n long, halves array<long>, marks array<int>")
     made = near_dup.candidate_joins(classes, Workspace(spark, "test-joins"))
-    assert {(min(r), max(r)) for r in made.collect()} == {(2 * i, 2 * i + 1) for i in range(12)}
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in made.collect()} == {(2 * i, 2 * i + 1) for i in range(12)}
 
 
 def test_blocks_of_a_large_component(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 500)
+    for name, value in (("BLOCK_SHINGLES", 500), ("BLOCK_SETS", 3), ("PARTNERS", 4), ("BLOCK_CLASSES", 5)):
+        monkeypatch.setattr(near_dup, name, value)
     rows = list(enumerate(t for s in range(2) for t in family(s + 10, 30)))
     made = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, made)) == plain_components(rows)

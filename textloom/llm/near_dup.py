@@ -6,11 +6,16 @@ minhashes each are computed, and every pair of half keys is one table key: HALVE
 rows for 2 * HALVES minhashes. A pair at similarity 0.75 shares no table with probability 2e-4, and at 0.85 with 1e-7.
 
 Only half keys that two classes share make table keys. In each table bucket every class is joined to one centre (the
-class whose half keys are the most shared); joins whose signatures agree in too few places go, and what loses its centre
-so is compared with all other classes of the bucket. So no two alike classes of a bucket are left apart. Connected components of these joins gather what may be alike.
-There every pair that could still join two parts is compared on full shingle sets, in tasks of bounded size: a large
-component is dealt into blocks, and each pair of blocks is compared apart. Confirmed links give the final components,
-by large-star and small-star steps. All sums are partial before shuffles; nothing of the corpus reaches the driver.
+class whose half keys are the most shared) if their signatures agree in enough places; what the centre rejects is
+compared, by signature, with all others of the bucket, in blocks. So no two alike classes of a bucket are left apart,
+and a bucket gives no more joins than it has classes.
+
+Joins are confirmed on full shingle sets in two steps. First each class is compared with the one it is most like, which
+settles groups of near copies in linear time, whatever their size: a centre's partners are dealt into parts. Where joins
+remain between parts that this leaves unconnected, those parts form a family, and every pair of sets in different parts
+of it is compared: the largest part is dealt into blocks, and each is compared with each block of the others. Confirmed
+links give the components, by large-star and small-star steps. All sums are partial before shuffles; nothing of the
+corpus reaches the driver, and texts are joined to few ids, which are broadcast up to a bound.
 
 Null and empty texts have no set, are linked with nothing and stay. Rows with equal doc_id are one node: what either
 links to is linked. A null doc_id is a node of its own.
@@ -26,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ASCII_LOWER, mix64, pick, text_slices, word_hashes
+from textloom.llm.common import ASCII_LOWER, mix64, pick, sized, text_slices, word_hashes
 from textloom.session import Workspace, ship_package
 
 SHINGLE, HALVES, SHARE = 5, 14, 75
 #: Signature places (of 2 * HALVES) that must agree; a pair at 0.75 fails with probability 2e-5.
 AGREE = 12
-#: Shingles in a block of a component.
-BLOCK_SHINGLES = 1_000_000
+#: Most partners of a centre, sets of a family, or classes of a bucket that a task compares at once; and shingles of a block.
+PARTNERS, BLOCK_SETS, BLOCK_CLASSES, BLOCK_SHINGLES = 64, 128, 1024, 200_000
 LEAST = np.iinfo(np.int64).min
 #: Odd factors: one for each place in a shingle, one for each minhash.
 PLACES = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -78,7 +83,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def candidate_joins(classes: DataFrame, work: Workspace) -> DataFrame:
-    """(a, b): classes to be looked at together."""
+    """(a, b, agree): classes to be looked at together, and places of their signatures that agree."""
     each = classes.select("rep", F.explode("halves").alias("half"))
     shared = each.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1")
     live = each.join(shared, "half").groupBy("rep").agg(F.array_sort(F.collect_set("half")).alias("h"), F.sum(F.log("c")).alias("w")).filter(F.size("h") > 1)
@@ -90,19 +95,75 @@ def candidate_joins(classes: DataFrame, work: Workspace) -> DataFrame:
     marks = work.save(classes.select("rep", "n", "marks"), "marks")
     one, two = (marks.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}")) for c in "ab")
     agree = F.size(F.filter(F.zip_with("m_a", "m_b", lambda x, y: x == y), lambda e: e))
-    sized = 100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")
+    fits = 100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")
 
     def alike(pair: DataFrame) -> DataFrame:
-        return pair.join(one, "a").join(two, "b").filter(sized & (agree >= AGREE)).select("a", "b")
+        return pair.join(one, "a").join(two, "b").withColumn("agree", agree).filter(fits & (F.col("agree") >= AGREE)).select("a", "b", "agree")
 
     centre = left.groupBy("t").agg(F.max("x").alias("centre"), F.count("*").alias("c")).filter("c > 1").drop("c")
     met = left.join(centre, "t").filter("x < centre").select(F.col("centre.rep").alias("a"), F.col("x.rep").alias("b"), "t")
     good = work.save(alike(met.select("a", "b").distinct()), "joins0")
-    rejected = work.save(met.join(good, ["a", "b"], "left_anti").select("t", F.col("b").alias("x")), "rejected")
+    rejected = work.save(met.join(good.select("a", "b"), ["a", "b"], "left_anti").select("t", F.col("b").alias("rep")).distinct(), "rejected")
     # what a centre keeps is joined through it; what it rejects meets all others of its buckets
-    every = left.select("t", F.col("x.rep").alias("y"))
-    others = rejected.join(every, "t").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return good.unionByName(work.save(alike(others), "joins1")).distinct()
+    every = left.select("t", F.col("x.rep").alias("rep"))
+    parts = lambda n: F.ceil(F.col(n) / BLOCK_CLASSES).cast("int")
+    sizes = rejected.groupBy("t").agg(F.count("*").alias("r")).join(every.groupBy("t").agg(F.count("*").alias("m")), "t").select("t", parts("r").alias("ni"), parts("m").alias("nj"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = rejected.join(sizes, "t").withColumn("i", own("ni")).withColumn("j", spread("nj")).select("t", "i", "j", F.lit(0).alias("side"), "rep")
+    columns = every.join(sizes, "t").withColumn("j", own("nj")).withColumn("i", spread("ni")).select("t", "i", "j", F.lit(1).alias("side"), "rep")
+    dealt = rows.unionByName(columns).join(marks, "rep").repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "side", "rep")
+    others = work.save(bucket_joins(dealt.select("t", "i", "j", "side", "rep", "n", "marks")), "joins1")
+    for name in ("keys", "rejected"):
+        work.remove(name)
+    return good.unionByName(others)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[list[list]]:
+    """Columns of each run of rows with equal keys; the rows come sorted by them."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *names)), strict=True):
+            if row[: len(keys)] != at:
+                if held:
+                    yield [list(c) for c in zip(*held, strict=True)]
+                at, held = row[: len(keys)], []
+            held.append(row[len(keys) :])
+    if held:
+        yield [list(c) for c in zip(*held, strict=True)]
+
+
+class Parts:
+    """Parts of the nodes of one task, and the links that join them: no more than a forest."""
+
+    def __init__(self, labels: list):
+        self.part, self.links = np.unique(np.array(labels), return_inverse=True)[1], []
+
+    def link(self, own: int, near: np.ndarray, what: list[tuple]) -> None:
+        """Join own's part with those of the nodes ``near``, one link for each part."""
+        others, first = np.unique(self.part[near], return_index=True)
+        for part, k in zip(others.tolist(), first.tolist(), strict=True):
+            if part != self.part[own]:
+                self.links.append(what[k])
+                self.part[self.part == part] = self.part[own]
+
+
+def bucket_joins(dealt: DataFrame) -> DataFrame:
+    """(a, b, agree): which rows (side 0) and columns (side 1) of a bucket's block have signatures that agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for side, rep, n, marks in groups_of(batches, ["t", "i", "j"], ["side", "rep", "n", "marks"]):
+            n, marks, rows = np.array(n), np.array(marks, np.int32), side.count(0)
+            parts = Parts(rep)
+            for k in range(rows):
+                agree = (marks[rows:] == marks[k]).sum(axis=1)
+                fits = (agree >= AGREE) & (100 * np.minimum(n[rows:], n[k]) >= SHARE * np.maximum(n[rows:], n[k]))
+                near = np.flatnonzero(fits)
+                parts.link(k, near + rows, [(rep[rows + j], rep[k], int(agree[j])) for j in near.tolist()])
+            if parts.links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts.links, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "agree"])
+
+    return dealt.mapInArrow(run, "a long, b long, agree int")
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -112,7 +173,7 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     def size_of(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = None
+    before, last = None, f"{name}0"
     for step in itertools.count(1):
         for kind in ("large", "small"):
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))) if kind == "large" else now
@@ -123,65 +184,91 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
             else:  # smaller neighbours and the node itself to the least one
                 new = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
             now = work.save(new.filter("u <> v").distinct(), f"{name}{step}{kind}")
+            work.remove(last)
+            last = f"{name}{step}{kind}"
         after = size_of(now)
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = after
 
 
-def compare_sets(reps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all that is joined by any link among the sets: a spanning forest.
-
-    Each centre is compared with every set outside its part; centres go on until every set outside the largest
-    part has been one, so no pair that could join two parts is left out.
-    """
-    n = np.array([len(s) for s in sets], np.int64)
-    ids, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    starts = np.cumsum(n) - n
-    central = np.add.reduceat(np.log(times)[inverse], starts) / np.maximum(n, 1)
-    part, was, links = np.arange(len(n)), np.zeros(len(n), bool), []
-    mark = np.zeros(len(ids), np.int64)
-    order = np.argsort(-central, kind="stable")
-    while True:
-        sizes = np.bincount(part, minlength=len(n))
-        open_ = order[(part[order] != sizes.argmax()) & ~was[order]] if was.any() else order
-        if not len(open_) or sizes.max() == len(n):
-            return links
-        c = int(open_[0])
-        was[c] = True
-        own = inverse[starts[c] : starts[c] + n[c]]
-        mark[own] = 1
-        common = np.add.reduceat(mark[inverse], starts)
-        mark[own] = 0
-        near = np.flatnonzero((100 * common >= SHARE * (n + n[c] - common)) & (part != part[c]))
-        for j in near.tolist():
-            if part[j] != part[c]:
-                links.append((reps[c], reps[j]))
-                part[part == part[j]] = part[c]
+def alike_sets(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets meet the contract's share."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if 100 * len(small) < SHARE * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= SHARE * (len(one) + len(two) - common)
 
 
-def confirmed_links(dealt: DataFrame) -> DataFrame:
-    """Links (a, b) among rows of one (comp, i, j); the rows come sorted by it."""
+def confirmed_pairs(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the edges (a, b) whose sets are alike; a's partners are dealt into parts, each with a's set."""
+    parts = edges.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    partners = edges.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), F.col("b").alias("rep"))
+    centres = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("a").alias("rep"))
+    dealt = centres.unionByName(partners).join(sets, "rep").repartition("a", "part").sortWithinPartitions("a", "part", "side", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, reps, sets = None, [], []
+        at, own, links = None, [], []
+        for batch in batches:
+            for a, part, side, rep, data in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "side", "rep", "set")), strict=True):
+                if (a, part) != at:
+                    at, own = (a, part), []
+                x = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    own.append(x)
+                elif any(alike_sets(x, c) for c in own):
+                    links.append((a, rep))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+                links = []
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(reps) > 1 and (links := compare_sets(reps, sets)):
+    return dealt.select("a", "part", "side", "rep", "set").mapInArrow(run, "a long, b long")
+
+
+def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between sets in different parts of a family, from (family, part, rep, n): all that could join two parts.
+
+    The largest part is not compared within itself: each block of the other parts meets each block of all.
+    """
+    parts = members.groupBy("family", "part").agg(F.count("*").alias("c"))
+    body = parts.groupBy("family").agg(F.max_by("part", F.struct("c", "part")).alias("body"))
+    blocks = lambda on, name: F.greatest(F.ceil(F.sum(F.when(on, F.col("n"))) / BLOCK_SHINGLES), F.ceil(F.count_if(on) / BLOCK_SETS)).cast("int").alias(name)
+    told = members.join(body, "family").withColumn("rest", F.col("part") != F.col("body"))
+    sizes = told.groupBy("family").agg(blocks(F.col("rest"), "ni"), blocks(F.lit(True), "nj"))
+    told = told.join(sizes, "family")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = told.filter("rest").withColumn("i", own("ni")).withColumn("j", spread("nj")).select("family", "i", "j", F.lit(0).alias("side"), "part", "rep")
+    columns = told.withColumn("j", own("nj")).withColumn("i", spread("ni")).select("family", "i", "j", F.lit(1).alias("side"), "part", "rep")
+    dealt = rows.unionByName(columns).join(sets, "rep").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for side, part, rep, data in groups_of(batches, ["family", "i", "j"], ["side", "part", "rep", "set"]):
+            if links := compare_sets(side.count(0), part, rep, [np.frombuffer(d, np.uint64) for d in data]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
-            reps.clear()
-            sets.clear()
 
-        for batch in batches:
-            for *key, rep, data in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "rep", "set")), strict=True):
-                if key != at:
-                    yield from close()
-                    at = key
-                reps.append(rep)
-                sets.append(np.frombuffer(data, np.uint64))
-        yield from close()
+    return dealt.select("family", "i", "j", "side", "part", "rep", "set").mapInArrow(run, "a long, b long")
+
 
-    return dealt.mapInArrow(run, "a long, b long")
+def compare_sets(rows: int, labels: list[int], reps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all parts that a link between the first ``rows`` sets and the others joins."""
+    n = np.array([len(s) for s in sets], np.int64)
+    if rows in (0, len(sets)):
+        return []
+    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(n) - n
+    parts, mark = Parts(labels), np.zeros(len(ids), np.int64)
+    columns = inverse[starts[rows] :]
+    for k in range(rows):
+        own = inverse[starts[k] : starts[k] + n[k]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[columns], starts[rows:] - starts[rows])
+        mark[own] = 0
+        near = np.flatnonzero((100 * common >= SHARE * (n[rows:] + n[k] - common)) & (parts.part[rows:] != parts.part[k])) + rows
+        parts.link(k, near, [(reps[k], reps[j]) for j in near.tolist()])
+    return parts.links
 
 
 def full_sets(wanted: DataFrame) -> DataFrame:
@@ -206,18 +293,26 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     marked = work.save(signatures(own), "signatures")
     grouped = marked.filter("n > 0").groupBy("s1", "s2", "n")
     classes = work.save(grouped.agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("marks").alias("marks")), "classes")
-    rough = components(candidate_joins(classes, work), work, "rough")
-    sized = rough.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "root").select(F.col("root").alias("comp"), F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = work.save(placed, "placed")
-    wanted = own.join(placed.hint("shuffle_hash"), "doc_id").select("comp", F.col("doc_id").alias("rep"), "blocks", "block", "text")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sets = full_sets(wanted).withColumn("other", other)
-    dealt = sets.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "set")
-    dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep")
-    links = work.save(confirmed_links(dealt), "links")
-    roots = components(links, work, "final")
+    joins = work.save(candidate_joins(classes, work), "joins")
+    nodes = joins.select(F.col("a").alias("rep")).unionByName(joins.select(F.col("b").alias("rep"))).distinct()
+    nodes = work.save(nodes.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "nodes")
+    wanted = own.join(sized(nodes.select(F.col("rep").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    sets = work.save(full_sets(wanted), "sets")
+    # each class against the one it is most like
+    nearest = joins.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).filter("a <> b")
+    near = components(work.save(confirmed_pairs(nearest, sets), "near"), work, "near-part")
+    parts = work.save(nodes.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("part")), "parts")
+    # joins between parts make families, in which all parts are compared
+    part_of = lambda c: parts.select(F.col("rep").alias(c), F.col("part").alias(f"p{c}"))
+    across = joins.select("a", "b").join(part_of("a"), "a").join(part_of("b"), "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    families = components(work.save(across.distinct(), "across"), work, "family")
+    members = work.save(parts.join(families.select(F.col("node").alias("part"), F.col("root").alias("family")), "part"), "members")
+    links = work.save(family_links(members, sets), "links")
+    found = links.join(part_of("a"), "a").join(part_of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    whole = components(work.save(found.distinct(), "found"), work, "final").withColumnRenamed("node", "part")
+    roots = work.save(parts.join(whole, "part", "left").select(F.col("rep").alias("node"), F.coalesce("root", "part").alias("root")), "roots")
+    for name in ("joins0", "joins1", "marks", "joins", "nodes", "sets", "near", "parts", "across", "members", "links", "found"):
+        work.remove(name)
     named = classes.select("s1", "s2", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component"))
     # rows with equal doc_id may stand in several classes; all of them are joined by it
     out = marked.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -231,4 +326,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     gone = work.save(near_duplicates(docs, own).filter("not kept").select("doc_id").distinct(), "gone")
     own.remove("")
     work.release()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.schema.names])
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.schema.names])
