@@ -161,6 +161,26 @@ def test_bit_packing():
         tokenfile.Segment(b"x" * 100)
 
 
+def test_a_document_is_read_by_its_blocks(tmp_path):
+    """Opening a file reads its tables; a document, no more than the blocks that hold it."""
+    ids = np.random.default_rng(1).integers(0, 50_000, 1_000_000).astype(np.uint32)
+    (tmp_path / "x").write_bytes(tokenfile.build_segment(list(range(1000)), [1000] * 1000, ids, 16) + tokenfile.MARK)
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.bytes, self.seek = file, 0, file.seek
+
+        def read(self, n):
+            self.bytes += n
+            return self.file.read(n)
+
+    with open(tmp_path / "x", "rb") as f:
+        s = tokenfile.Segment(source := Counted(f))
+        tables = source.bytes
+        assert tables < 20_000 and (s.document(777) == ids[777_000:778_000]).all()
+        assert source.bytes - tables <= 2 * 2 * tokenfile.BLOCK
+
+
 def test_token_files(spark, library, odd, tmp_path):
     rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in odd.collect()))
     start, wanted = 0, []
@@ -172,8 +192,8 @@ def test_token_files(spark, library, odd, tmp_path):
     assert sorted(map(tuple, made), key=lambda r: r[1]) == wanted
     assert tokenfile.token_file_digests(empty(spark), PATH).count() == 0
     tokenfile.write_token_files(odd, PATH, str(tmp_path / "w"))
-    names = tokenfile.export(spark.read.parquet(str(tmp_path / "w")), f"file://{tmp_path}/files").collect()
-    assert sum(tokenfile.Segment((tmp_path / "files" / r["name"]).read_bytes()).n_ids for r in names) == start
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*") if f.stat().st_size]
+    assert sum(tokenfile.Segment(x).n_ids for x in files) == start and all(x.endswith(tokenfile.MARK) for x in files)
 
 
 # packing ------------------------------------------------------------------------------------------------------------
@@ -385,10 +405,28 @@ def test_archives(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
     assert warc.url_key("http://www.B.org:80/x?q#f") == "org,b)/x?q"
     with pytest.raises(ValueError):
-        list(warc.parse(io.BytesIO(warc.record(1, None, "abc", None).replace("abc", "abd").encode() + b"\r\n\r\n")))
-    whole = (warc.record(1, None, "abc", None) + warc.END + warc.record(2, "http://a.b/", "abc", 1) + warc.END).encode()
+        list(warc.parse(io.BytesIO(warc.record(1, None, "abc", None).replace(b"abc", b"abd"))))
+    whole = warc.record(1, None, "abc", None) + warc.record(2, "http://a.b/", "abc", 1)
     found = list(warc.parse(io.BytesIO(whole)))
     assert [(h["WARC-Type"], p) for _, _, h, p in found] == [("response", b"abc"), ("revisit", b"")]
     assert all(whole[o : o + n].startswith(b"WARC/1.1") and whole[o + n : o + n + 4] == b"\r\n\r\n" for o, n, _, _ in found)
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(whole[:-9])))
+
+
+def test_index_opens_records(spark, tmp_path, monkeypatch):
+    """Each capture is read from its own gzip member alone; archives are closed at their size, and any gzip reader takes them."""
+    import gzip
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    rows = [(i, f"http://h{i % 3}.org/{i}", "x" * i + f"page {i // 2}") for i in range(60)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    index = warc.capture_history(spark, str(tmp_path / "w")).collect()
+    assert len(index) == 60 and len({r["file"] for r in index}) == len([f for f in (tmp_path / "w").glob("part-*") if f.stat().st_size])
+    for r in index:
+        with open(tmp_path / "w" / r["file"], "rb") as f:
+            headers, payload = warc.read_record(f, r["offset"], r["length"])
+        assert headers["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>" and warc.digest(payload) == r["payload_digest"]
+    for name in {r["file"] for r in index}:
+        kinds = [h["WARC-Type"] for _, _, h, _ in warc.parse(io.BytesIO(gzip.decompress((tmp_path / "w" / name).read_bytes())))]
+        assert kinds[0] == "warcinfo" and set(kinds[1:]) == {"response"}

@@ -1,13 +1,13 @@
 """Token-id files: fixed-width bit packing with block offsets.
 
-A segment is the image of one file: header, table of documents, block offsets, then blocks of ``BLOCK`` ids, each
-id in the least bits that hold the vocabulary. Blocks unpack as whole numpy arrays, and one document is read by
-unpacking only its blocks. Documents go in ascending doc_id order: ranges of doc_id make shards, a shard is written
-by one task as segments of bounded size, and Spark's own writer commits the images, so a lost task leaves nothing
-half-written. ``export`` puts the images out as plain files.
-
-Null text is empty (its document is the end id alone). Rows with equal doc_id stay, in order of their text; null
-doc_id comes first. An empty table gives no segments and no rows.
+A file is one segment: header, table of documents, block offsets, blocks of ``BLOCK`` ids, each id in the least bits
+that hold the vocabulary, and an end mark. Blocks unpack as whole numpy arrays, and one document is read by seeking to
+its blocks alone. Documents go in ascending doc_id order: ranges of doc_id make shards, a shard is written by one task
+as segments of bounded size, and Spark's own text writer puts each image out as a file (its bytes as they are, the end
+mark for a line end), so any store that Spark writes to will do and a lost task leaves no half file.
+
+Null text is empty (its document is the end id alone). Rows with equal doc_id stay, in order of a hash of their text,
+by which ranges can split them; null doc_id comes first. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,21 +15,24 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import encoder, vocabulary
 from textloom.llm.common import pick, text_slices
 from textloom.session import Workspace, ship_package
 
-MAGIC, END_ID = b"TLBITS01", 1
+MAGIC, MARK, END_ID = b"TLBITS02", b"TLBITSEND\n", 1
 #: Ids in a block, and in a segment at least before it is closed.
-BLOCK, SEGMENT_IDS = 1 << 16, 1 << 22
-HEAD = struct.Struct("<8sIIQQQ")  # magic, bits, block, documents, ids, blocks
+BLOCK, SEGMENT_IDS = 1 << 16, 1 << 21
+HEAD = struct.Struct(">8sQQQQQQQQ")  # magic, shard, segment, ids of the shard before it, documents, ids, bits, block, blocks
+#: Where the shard and the number of ids stand, for the JVM (from 1).
+SHARD_AT, IDS_AT = 9, 41
 NULL_DOC = np.iinfo(np.int64).min
 
 
@@ -55,36 +58,41 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return (loads[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def build_segment(doc_ids: list[int], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
+def build_segment(doc_ids: list[int], lengths: list[int], ids: np.ndarray, bits: int, shard: int = 0, segment: int = 0, start: int = 0) -> bytes:
+    """The image of a file but for its end mark."""
     blocks = [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
     offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     starts = np.cumsum([0, *lengths]).astype("<u8")
-    head = HEAD.pack(MAGIC, bits, BLOCK, len(doc_ids), len(ids), len(blocks))
+    head = HEAD.pack(MAGIC, shard, segment, start, len(doc_ids), len(ids), bits, BLOCK, len(blocks))
     return b"".join([head, np.array(doc_ids, "<i8").tobytes(), starts.tobytes(), offsets.tobytes(), *blocks])
 
 
 class Segment:
-    """Reader of one image."""
+    """Reader of one file, given as its bytes or opened for seeking. Of an opened one only what is asked for is read."""
 
-    def __init__(self, image: bytes | memoryview):
-        view = memoryview(image)
-        magic, self.bits, self.block, docs, self.n_ids, blocks = HEAD.unpack(view[: HEAD.size])
+    def __init__(self, source: bytes | memoryview | BinaryIO):
+        self.source = memoryview(source) if isinstance(source, bytes | memoryview) else source
+        magic, self.shard, self.segment, self.start, docs, self.n_ids, self.bits, self.block, blocks = HEAD.unpack(self._bytes(0, HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a token-id segment")
-        a = HEAD.size
-        b = a + 8 * docs
-        c = b + 8 * (docs + 1)
-        self.doc_ids = np.frombuffer(view[a:b], "<i8")
-        self.starts = np.frombuffer(view[b:c], "<u8").astype(np.int64)
-        self.offsets = np.frombuffer(view[c : c + 8 * (blocks + 1)], "<u8").astype(np.int64)
-        self.payload = view[c + 8 * (blocks + 1) :]
+        tables = np.frombuffer(self._bytes(HEAD.size, 8 * (2 * docs + blocks + 2)), "<i8")
+        self.doc_ids, self.starts, self.offsets = tables[:docs], tables[docs : 2 * docs + 1], tables[2 * docs + 1 :]
+        self.base = HEAD.size + tables.nbytes
+
+    def _bytes(self, at: int, n: int) -> bytes | memoryview:
+        if isinstance(self.source, memoryview):
+            return self.source[at : at + n]
+        self.source.seek(at)
+        return self.source.read(n)
 
     def read(self, start: int, end: int) -> np.ndarray:
         """Ids from start up to end, from their blocks alone."""
         if start >= end:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
-        parts = [unpack(self.payload[self.offsets[k] : self.offsets[k + 1]], min(self.block, self.n_ids - k * self.block), self.bits) for k in range(first, last + 1)]
+        data = self._bytes(self.base + int(self.offsets[first]), int(self.offsets[last + 1] - self.offsets[first]))
+        at = self.offsets[first : last + 2] - self.offsets[first]
+        parts = [unpack(data[at[k] : at[k + 1]], min(self.block, self.n_ids - (first + k) * self.block), self.bits) for k in range(last - first + 1)]
         whole = np.concatenate(parts) if len(parts) > 1 else parts[0]
         return whole[start - first * self.block : end - first * self.block]
 
@@ -103,7 +111,7 @@ class Segment:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str) -> None:
-    """Write the segments under ``path``: (shard, segment, shard_start, n_ids, image), shards in doc_id order."""
+    """Write all documents as segment files under ``path``, shards in doc_id order."""
     ship_package(docs.sparkSession)
     config = vocabulary(tokenizer_path)
 
@@ -117,13 +125,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
-            image = build_segment(names, [len(x) // 4 for x in held], ids, bits)
-            row = {"shard": pa.array([shard], pa.int32()), "segment": pa.array([state["segment"]], pa.int32()), "shard_start": pa.array([state["start"]], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "image": pa.array([image], pa.binary())}
+            image = build_segment(names, [len(x) // 4 for x in held], ids, bits, shard, state["segment"], state["start"])
             state["segment"] += 1
             state["start"] += len(ids)
             names.clear()
             held.clear()
-            return pa.RecordBatch.from_pydict(row)
+            return pa.RecordBatch.from_pydict({"image": pa.array([image], pa.binary())})
 
         size = 0
         for batch in batches:
@@ -139,48 +146,34 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         if names:
             yield close()
 
-    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "shard int, segment int, shard_start long, n_ids long, image binary").write.option("compression", "zstd").mode("overwrite").parquet(path)
+    tie = F.xxhash64("text")
+    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    images = ordered.mapInArrow(run, "image binary").select(F.col("image").cast("string"))
+    images.write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", MARK.decode()).text(path)
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the segments."""
-    ship_package(files.sparkSession)
-    ends = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # one row for each writing task
-    first = dict(zip([r["shard"] for r in ends], np.cumsum([0, *(r["n"] for r in ends)]).tolist(), strict=False))
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files under ``path``."""
+    ship_package(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 8)), 16, 10).cast("long")
+    ends = files.select(number(SHARD_AT).alias("shard"), number(IDS_AT).alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).collect()  # one row for each writing task
+    ends = sorted((r["shard"], r["n"]) for r in ends)
+    first = dict(zip([k for k, _ in ends], np.cumsum([0, *(n for _, n in ends)]).tolist(), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                image = batch.column("image")[i].as_buffer()
-                base = first[batch.column("shard")[i].as_py()] + batch.column("shard_start")[i].as_py()
-                rows = [(None if d == NULL_DOC else d, base + s, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, s, x in Segment(memoryview(image)).documents()]
+                file = Segment(memoryview(batch.column("content")[i].as_buffer()))
+                base = first[file.shard] + file.start
+                rows = [(None if d == NULL_DOC else d, base + s, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, s, x in file.documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return pick(files, "shard", "shard_start", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def export(files: DataFrame, uri: str) -> DataFrame:
-    """Put each segment out as a plain file under ``uri`` (any address pyarrow opens); (name, bytes) of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        target, root = fs.FileSystem.from_uri(uri)
-        target.create_dir(root, recursive=True)
-        for batch in batches:
-            for shard, segment, image in zip(*(batch.column(n).to_pylist() for n in ("shard", "segment", "image")), strict=True):
-                name = f"{shard:06d}-{segment:04d}.tlbits"
-                with target.open_output_stream(f"{root}/.{name}.{TaskContext.get().taskAttemptId()}") as f:
-                    f.write(image)
-                target.move(f"{root}/.{name}.{TaskContext.get().taskAttemptId()}", f"{root}/{name}")
-                yield pa.RecordBatch.from_pydict({"name": [name], "bytes": pa.array([len(image)], pa.int64())})
-
-    return pick(files, "shard", "segment", "image").mapInArrow(run, "name string, bytes long")
+    return files.select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write all documents, read the files back, and return what they hold."""
     work = Workspace(docs.sparkSession, "tokenfile")
     write_token_files(docs, tokenizer_path, work.path("segments"))
-    return read_token_files(work.load("segments"))
+    return read_token_files(docs.sparkSession, work.path("segments"))
