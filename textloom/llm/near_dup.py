@@ -38,7 +38,7 @@ SHINGLE, HALVES, SHARE = 5, 14, 75
 #: Signature places (of 2 * HALVES) that must agree; a pair at 0.75 fails with probability 2e-5.
 AGREE = 12
 #: Most partners of a centre, sets of a family, or classes of a bucket that a task compares at once; and shingles of a block.
-PARTNERS, BLOCK_SETS, BLOCK_CLASSES, BLOCK_SHINGLES = 64, 128, 1024, 200_000
+PARTNERS, BLOCK_SETS, BLOCK_CLASSES, BLOCK_SHINGLES = 64, 128, 256, 200_000
 LEAST = np.iinfo(np.int64).min
 #: Odd factors: one for each place in a shingle, one for each minhash.
 PLACES = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
