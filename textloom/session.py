@@ -71,11 +71,12 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, release: bool = True) -> DataFrame:
         schema = df.schema
         df.write.mode("overwrite").parquet(self.path(name))
         del df
-        self.release()
+        if release:
+            self.release()
         return self.load(name, schema)
 
     def release(self) -> None:
