@@ -183,11 +183,12 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
                 new = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:  # smaller neighbours and the node itself to the least one
                 new = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            now = work.save(new.filter("u <> v").distinct(), f"{name}{step}{kind}")
+            now = work.save(new.filter("u <> v").distinct(), f"{name}{step}{kind}", release=False)
             work.remove(last)
             last = f"{name}{step}{kind}"
         after = size_of(now)
-        if after == before:
+        if after == before or not after[0]:
+            work.release()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = after
 
