@@ -1,14 +1,21 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
-Nodes are the tokens of a document that hold a digit or an at sign; no other token can be of a kind. Unary potentials
-come from hashed shape and context features, chain edges join neighbouring tokens, and skip edges join a token to the
-next one in the document of the same normal form (its letters and digits in lower case), however far. Tokens inside
-base spans are observed. Loopy sum-product message passing over all edges then makes labels agree along the chain and
-between repeats; runs of tokens whose label is certain enough become further spans. Edges are linear in the tokens.
-
-The potentials are fitted piecewise, on the driver, on at most ``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS``
-characters with the base spans as labels; the fit is the same for the same documents. Finding spans reads every text
-whole. Null text is empty and has no spans. Rows with equal doc_id are each read.
+The base patterns take the longest run and drop it if it fails, so a phone before another number is missed, and so is a
+part of a number given before. Nodes of the field are the tokens of a document that hold a digit or an at sign; no other
+token can be of a kind. Unary potentials come from hashed shape and context features, chain edges join neighbouring
+tokens, and skip edges join a token to the next one in the document, however far, of the same form (its letters and
+digits in lower case) or a similar one (the same last seven digits, the same name before an at sign). Tokens inside base
+spans are observed. Loopy sum-product message passing over all edges then makes labels agree along the chain and between
+repeats. Runs of tokens whose label is certain enough become further spans if they can be of that kind: enough digits,
+for cards the check digit, for addresses their parts. Edges are linear in the tokens.
+
+The potentials are fitted together by pseudo-likelihood: each token's label given those of its neighbours. Labels are
+those of the base spans; a token without one that neighbours one, or repeats one, is latent: it is no example, as it may
+have been missed, nor does it tell its repeats a label. A random half of the features is hidden from each token in each step,
+so context and neighbours count even where the format is plain. The fit takes at most ``TRAIN_NODES`` tokens, the first
+by hash, of at most ``TRAIN_DOCS`` documents of any length, whose tokens executors make; it is the same for the same
+documents. Finding spans reads every text whole. Null text is empty and has no spans. Rows with equal doc_id are each
+read; spans that tie for a start are in order of the kind, and overlapping ones stay.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +34,9 @@ from textloom.llm.common import pick, text_slices
 from textloom.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, TRAIN_CHARS, FEATURES, STEPS, ROUNDS, CERTAIN = 3000, 20_000, 1 << 12, 150, 12, 0.95
+TRAIN_DOCS, TRAIN_NODES, FEATURES, STEPS, ROUNDS, CERTAIN = 3000, 50_000, 1 << 12, 200, 12, 0.9
+#: Share of a token's features that a step of the fit hides.
+HIDDEN = 0.5
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -76,10 +86,23 @@ def slot(name: str) -> int:
 
 def shape(token: str) -> str:
     """The token with letters as a, digits as 9, and runs shortened to their length's class."""
-    t = re.sub(r"[^\W\d_]+", "a", token[:80])
+    t = re.sub(r"[^\W\d_]+", "a", token)
     return re.sub(r"[0-9]+", lambda m: "9" * min(len(m[0]), 5), t)
 
 
+def similar(token: str) -> list[tuple[str, str]]:
+    """What tokens that share a skip edge have in common: a form, the last seven digits, or the name of an address."""
+    form = "".join(c for c in token.lower() if c.isalnum())
+    keys = [("form", form)] if len(form) >= 4 else []
+    digits = "".join(c for c in token if c in "0123456789")
+    if len(digits) >= 7 and len(digits) == len(form):
+        keys.append(("digits", digits[-7:]))
+    name = "".join(c for c in token.lower().split("@")[0] if c.isalnum()) if "@" in token else form
+    if len(name) >= 6 and not name.isdigit():
+        keys.append(("name", name))
+    return keys
+
+
 class Graph:
     """Nodes and edges of some documents together."""
 
@@ -100,7 +123,7 @@ class Graph:
         return k
 
     def add(self, doc: int, text: str, spans: list[Span]) -> None:
-        last: dict[str, int] = {}
+        last: dict[tuple[str, str], int] = {}
         before, before_node, at = "", -1, 0
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
         for i, (a, b) in enumerate(tokens):
@@ -113,10 +136,13 @@ class Graph:
             b = a + len(token)
             while at < len(spans) and spans[at][2] <= a:
                 at += 1
-            label = next((s[1] + 1 for s in spans[at : at + 4] if s[0] < b and s[2] > a), 0)
+            label, k = 0, at
+            while not label and k < len(spans) and spans[k][0] < b:
+                label, k = (spans[k][1] + 1 if spans[k][2] > a else 0), k + 1
             after = text[tokens[i + 1][0] : tokens[i + 1][1]] if i + 1 < len(tokens) else ""
             digits = sum(map(str.isdigit, token))
-            names = [f"s:{shape(token)}", f"d:{min(digits, 20)}", f"n:{min(len(token), 40)}", f"b:{before[-12:].lower()}", f"p:{shape(before)}", f"f:{shape(after)}", f"q:{shape(before)} {shape(token)}", f"l:{digits > 12 and luhn(''.join(c for c in token if c in '0123456789'))}"]
+            checked = digits > 12 and luhn("".join(c for c in token if c in "0123456789"))
+            names = [f"s:{shape(token)}", f"d:{min(digits, 20)}", f"n:{min(len(token), 40)}", f"b:{before[-12:].lower()}", f"p:{shape(before)}", f"f:{shape(after)}", f"q:{shape(before)} {shape(token)}", f"l:{checked}", f"c:{min(digits, 20)} {checked}"]
             node = len(self.doc)
             self.doc.append(doc)
             self.span.append((a, b))
@@ -124,11 +150,10 @@ class Graph:
             self.seen.append(label or -1)
             if before_node >= 0:
                 self.chain.append((before_node, node))
-            form = "".join(c for c in token.lower() if c.isalnum())
-            if len(form) >= 4:
-                if form in last:
-                    self.skip.append((last[form], node))
-                last[form] = node
+            for key in similar(token):
+                if key in last:
+                    self.skip.append((last[key], node))
+                last[key] = node
             before, before_node = raw, node
 
 
@@ -160,7 +185,7 @@ class Model:
         doc = np.unique(np.array(g.doc), return_inverse=True)[1]
         depth, most = np.zeros(len(doc), np.int64), np.full(doc.max(initial=-1) + 1, ROUNDS)
         for a, b in g.skip:
-            depth[b] = depth[a] + 1
+            depth[b] = max(depth[b], depth[a] + 1)
         np.maximum.at(most, doc, ROUNDS + 2 * depth)
         live = np.arange(len(source))
         for step in range(1, most.max(initial=0) + 1):
@@ -181,48 +206,123 @@ class Model:
         return np.exp(belief)
 
 
-def fit(texts: list[str]) -> Model:
-    """Piecewise fit: multinomial logistic unaries, then edge potentials from how labels go together."""
-    g, k = Graph(), len(KINDS) + 1
+Nodes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def training_nodes(texts: list[str]) -> Nodes:
+    """Features, label, label of the token before and after, sums of the labels that skip edges bring (a column each), and a hash.
+
+    Latent nodes are left out; along the chain they count as none, to their repeats they tell nothing.
+    """
+    g = Graph()
     for i, t in enumerate(texts):
         g.add(i, t, base_spans(t))
-    weights = np.zeros((FEATURES, k))
+    n, k = len(g.doc), len(KINDS) + 1
     label = np.maximum(np.array(g.seen, np.int64), 0)
+    latent = np.zeros(n, bool)
+    for a, b in (*g.chain, *g.skip):
+        latent[a] |= label[b] > 0
+        latent[b] |= label[a] > 0
+    latent &= label == 0
+    told = np.where(latent, -1, label)
+    left, right, skips = np.full(n, -1), np.full(n, -1), np.zeros((n, k), np.int64)
+    for a, b in g.chain:
+        right[a], left[b] = label[b], label[a]
+    for a, b in g.skip:
+        for own, other in ((a, b), (b, a)):
+            if told[other] >= 0:
+                skips[own, told[other]] += 1
+    features = np.array(g.features, np.int64).reshape(n, -1)
+    salt = np.array([int.from_bytes(hashlib.blake2b(f"{s} {texts[d]}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for d, s in zip(g.doc, g.span, strict=True)], np.int64)
+    return tuple(x[~latent] for x in (features, label, left, right, skips, salt))
+
+
+def fit_nodes(nodes: Nodes) -> Model:
+    """Unary, chain and skip potentials together, by pseudo-likelihood."""
+    x, label, left, right, skips, _ = nodes
+    n, k = len(label), len(KINDS) + 1
+    weights, chain, skip = np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))
     if not label.any():
         weights[:, 0] = 1.0
-        return Model(weights, np.zeros((k, k)), np.zeros((k, k)))
-    x = np.array(g.features)
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
+        return Model(weights, chain, skip)
+    some_left, some_right, rng = np.flatnonzero(left >= 0), np.flatnonzero(right >= 0), np.random.default_rng(11)
+    parts = [weights, chain, skip]
+    m, v = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for step in range(1, STEPS + 1):
-        score = weights[x].sum(axis=1)
+        shown = rng.random(x.shape) >= HIDDEN
+        score = (weights[x] * shown[:, :, None]).sum(axis=1) + skips @ skip
+        score[some_left] += chain[left[some_left]]
+        score[some_right] += chain.T[right[some_right]]
         p = np.exp(score - np.logaddexp.reduce(score, axis=1, keepdims=True))
-        p[np.arange(len(x)), label] -= 1
-        grad = 1e-5 * weights
+        p[np.arange(n), label] -= 1
+        p /= n
+        grads = [1e-5 * weights, 1e-4 * chain, 1e-4 * skip + skips.T @ p]
         for j in range(x.shape[1]):
-            np.add.at(grad, x[:, j], p / len(x))
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        weights -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    share = np.bincount(label, minlength=k) + 1.0
-    share /= share.sum()
+            np.add.at(grads[0], x[:, j], p * shown[:, j : j + 1])
+        np.add.at(grads[1], left[some_left], p[some_left])
+        np.add.at(grads[1].T, right[some_right], p[some_right])
+        grads[2] = (grads[2] + grads[2].T) / 2  # a skip edge has no direction
+        for i, (part, grad) in enumerate(zip(parts, grads, strict=True)):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * grad, 0.99 * v[i] + 0.01 * grad**2
+            part -= 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
+    return Model(weights * (1 - HIDDEN), chain, skip)
 
-    def edges(pairs: list[tuple[int, int]]) -> np.ndarray:
-        both = np.outer(share, share) * 5 + np.diag(share) * 5
-        for a, b in pairs:
-            both[label[a], label[b]] += 1
-        both = (both + both.T) / 2 if pairs is g.skip else both
-        return np.clip(np.log(both / both.sum() / np.outer(share, share)), -2.5, 2.5)
 
-    return Model(weights, edges(g.chain), edges(g.skip))
+def fit(texts: list[str]) -> Model:
+    """As ``fit_on`` on so many texts."""
+    nodes = training_nodes(sorted(set(texts)))
+    order = np.argsort(nodes[-1], kind="stable")[:TRAIN_NODES]
+    return fit_nodes(tuple(x[order] for x in nodes))
 
 
 def fit_on(docs: DataFrame) -> Model:
-    """Fit on the sample: the first usable documents by hash of their id, chosen by id alone before texts are fetched."""
+    """Fit on tokens of the sample: the first documents with a digit or an at sign by hash of their id."""
     ship_package(docs.sparkSession)
-    usable = pick(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    own = usable.join(F.broadcast(chosen.distinct()), "doc_id").select("text").distinct()  # at most TRAIN_DOCS ids
-    rows = own.orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCS).collect()
-    return fit(sorted(r["text"] for r in rows))
+    usable = pick(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
+    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    own = usable.join(F.broadcast(chosen), "doc_id").select("text").distinct()  # at most TRAIN_DOCS ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in text_slices(batch.column("text")):
+                features, label, left, right, skips, salt = training_nodes(texts)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (features, skips) if len(x)]
+                if lists:
+                    yield pa.RecordBatch.from_arrays([lists[0], *map(pa.array, (label, left, right)), lists[1], pa.array(salt)], names=["features", "label", "before", "after", "skips", "salt"])
+
+    made = own.mapInArrow(run, "features array<long>, label long, before long, after long, skips array<long>, salt long")
+    rows = made.orderBy("salt", "features", "label").limit(TRAIN_NODES).toArrow()
+    n, k = rows.num_rows, len(KINDS) + 1
+    one = lambda c: rows.column(c).to_numpy()
+    many = lambda c, w: pc.list_flatten(rows.column(c)).to_numpy().reshape(n, w)
+    width = len(rows.column("features")[0]) if n else 1
+    return fit_nodes((many("features", width), one("label"), one("before"), one("after"), many("skips", k), one("salt")))
+
+
+def can_be(kind: int, text: str) -> bool:
+    """Whether a text can be of the kind at all."""
+    digits = "".join(c for c in text if c in "0123456789")
+    if kind == 0:
+        name, _, domain = text.partition("@")
+        return bool(name and DOMAIN.match(domain))
+    if kind == 1:
+        return bool((m := IP.fullmatch(text)) and all(int(x) <= 255 for x in m.group().split(".")))
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
+
+
+def found_in(run: list[tuple[int, int]], kind: int, text: str) -> Iterator[Span]:
+    """Spans in a run of tokens that are certain to be of a kind: the longest parts that can be, from the left.
+
+    A token of a run holds a digit, so no part of more than 19 tokens can be.
+    """
+    i = 0
+    while i < len(run):
+        for j in range(min(len(run), i + 19), i, -1):
+            if can_be(kind, text[run[i][0] : run[j - 1][1]]):
+                yield run[i][0], kind, run[j - 1][1]
+                i = j - 1
+                break
+        i += 1
 
 
 def all_spans(model: Model, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
@@ -237,16 +337,16 @@ def all_spans(model: Model, texts: list[str]) -> list[tuple[list[Span], list[Spa
         p = model.marginals(g)
         best = p.argmax(axis=1)
         sure = (best > 0) & (p.max(axis=1) >= CERTAIN) & (np.array(g.seen) < 0)
-        linked = set(g.chain)
+        linked, runs = set(g.chain), []
         last = None
         for j in np.flatnonzero(sure).tolist():
-            (a, b), doc, kind = g.span[j], g.doc[j], int(best[j]) - 1
-            own = more.setdefault(doc, [])
-            if last is not None and (last, j) in linked and own and own[-1][1] == kind:
-                own[-1] = (own[-1][0], kind, b)
+            if last is not None and (last, j) in linked and best[last] == best[j]:
+                runs[-1][2].append(g.span[j])
             else:
-                own.append((a, kind, b))
+                runs.append((g.doc[j], int(best[j]) - 1, [g.span[j]]))
             last = j
+        for doc, kind, run in runs:
+            more.setdefault(doc, []).extend(found_in(run, kind, texts[doc]))
     return [(own, sorted([*own, *more.get(i, ())])) for i, own in enumerate(base)]
 
 
