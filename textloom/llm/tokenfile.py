@@ -6,8 +6,8 @@ its blocks alone. Documents go in ascending doc_id order: ranges of doc_id make
 as segments of bounded size, and Spark's own text writer puts each image out as a file (its bytes as they are, the end
 mark for a line end), so any store that Spark writes to will do and a lost task leaves no half file.
 
-Null text is empty (its document is the end id alone). Rows with equal doc_id stay, in order of a hash of their text,
-by which ranges can split them; null doc_id comes first. An empty table gives no rows.
+Null text is empty (its document is the end id alone). Rows with equal doc_id stay, in order of their text, in one
+shard; null doc_id comes first. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -146,8 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         if names:
             yield close()
 
-    tie = F.xxhash64("text")
-    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     images = ordered.mapInArrow(run, "image binary").select(F.col("image").cast("string"))
     images.write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", MARK.decode()).text(path)
 
