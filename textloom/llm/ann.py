@@ -35,7 +35,7 @@ from textloom.session import Workspace, ship_package
 
 NEAREST, TABLES, SAMPLE, ROWS_SAMPLE, RECALL = 20, 24, 64, 4096, 0.97
 #: Bytes of queries that one pass takes, queries a task looks up at once, and rows it looks at together.
-PASS_BYTES, QUERIES_AT_ONCE, ROWS_AT_ONCE = 16 << 20, 128, 4096
+PASS_BYTES, QUERIES_AT_ONCE, ROWS_AT_ONCE = 16 << 20, 128, 10_240
 SEED = 20240817
 
 
@@ -84,9 +84,9 @@ class Hasher:
 
 def weights(probes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """By query and vector: the nearness of the vector's buckets, over all tables."""
-    out = probes[0][:, buckets[0]]
+    out = probes[0].take(buckets[0], axis=1)
     for t in range(1, TABLES):
-        out += probes[t][:, buckets[t]]
+        out += probes[t].take(buckets[t], axis=1)
     return out
 
 
@@ -190,7 +190,7 @@ def search(classes: DataFrame, ids: np.ndarray, q: np.ndarray, hasher: Hasher, s
     rank = max(0, len(sample) - int(np.ceil(share * len(sample))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, scored, probes, least = Top(len(q), NEAREST + 1), 0, {}, {}
+        top, least = Top(len(q), NEAREST + 1), {}
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
@@ -203,7 +203,6 @@ def search(classes: DataFrame, ids: np.ndarray, q: np.ndarray, hasher: Hasher, s
                         at = np.partition(weights(near, inside), rank, axis=1)[:, rank] if rank else np.full(len(own), -np.inf)
                         least[s] = at[:, None]
                     row, col = np.nonzero(weights(near, buckets) >= least[s])
-                    scored += len(row)
                     for a in range(0, len(row), 1 << 17):
                         r, c = row[a : a + (1 << 17)], col[a : a + (1 << 17)]
                         value = exact(own[r], wide[c])
