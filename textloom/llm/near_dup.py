@@ -178,6 +178,7 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         for kind in ("large", "small"):
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))) if kind == "large" else now
             least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+            least = work.save(least, f"{name}-least", release=False)  # a table, so that the join on a node of many edges can be split
             met = both.join(least, "u")
             if kind == "large":  # larger neighbours to the least one
                 new = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -188,6 +189,7 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
             last = f"{name}{step}{kind}"
         after = size_of(now)
         if after == before or not after[0]:
+            work.remove(f"{name}-least")
             work.release()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = after
@@ -328,3 +330,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     own.remove("")
     work.release()
     return docs.join(sized(gone), "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.schema.names])
+
+
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - {SHINGLE - 1}, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {SHARE} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+f AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, f.root AS component_id, d.doc_id = f.root AS kept
+FROM documents d JOIN f ON f.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

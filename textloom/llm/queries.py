@@ -64,6 +64,7 @@ QUERIES = {
     "op10_warc_index_merge": op10_warc_index_merge,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_tensored_minhash": near_dup.SQL,
     "op7_ngram_ratio_rules": quality_rules.SQL,
     "op9_unit_hashing": substring.SQL,
     "op10_warc_index_merge": warc.SQL,
