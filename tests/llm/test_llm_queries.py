@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
-from helpers import SMALL, WORDS, plain_components, plain_removed
+from helpers import SMALL, WORDS, empty, odd_documents, plain_components, plain_removed
 from textloom.llm import queries as q
 
 
@@ -83,3 +83,20 @@ def test_pipeline_stages(spark, tables):
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed.collect()) == sorted(wanted)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, long texts, repeats and clashing columns pass all stages; an empty table gives no rows."""
+    import corpus_pipeline as p
+
+    odd = odd_documents(spark)
+    text = " ".join(f"u{i}" for i in range(9000)) + " a.b@c.org"
+    more = [(20, text, None, None, None), (21, text + " tail", "en", "s", -1), (21, text + " tail", "en", "s", -1), (22, "\n".join(f"v{i} {i * i}" for i in range(300)), "en", None, 3), (None, " ".join(f"n{i}" for i in range(60)), "en", "s", 0)]
+    odd = odd.union(spark.createDataFrame([(*r, 1, 2, 3, "x", b"y", 4, 5, 6) for r in more], odd.schema))
+    labels = spark.createDataFrame([(20, 1, 0), (22, 1, 0), (22, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("empty", empty(spark))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        (labels if name == "odd" else labels.limit(0)).write.parquet(str(tmp_path / name / "labels.parquet"))
+    rows = p.run(spark, str(tmp_path / "odd")).collect()
+    assert {20, 22} <= {r["doc_id"] for r in rows} <= {20, 22, None} and sum(r["length"] for r in rows if r["doc_id"] == 20) > 9000
+    assert p.run(spark, str(tmp_path / "empty")).count() == 0

@@ -211,6 +211,19 @@ def test_every_code_point(library):
     assert bpe.library_encoder(config).encode_all(texts) == wanted
 
 
+def test_long_chunks_are_not_kept(library):
+    texts = ["x" * 500 + " " + "ab" * 300 + ". short " + "z9" * 400, "x" * 500]
+    for coder in (bpe.ChunkEncoder(bpe.vocabulary(PATH)), bpe.library_encoder(bpe.vocabulary(PATH))):
+        for _ in range(2):
+            assert coder.encode_all(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert max(map(len, coder.known)) <= bpe.LONGEST_KEPT
+    from textloom.llm.common import LONGEST_KEPT, WordHashes
+
+    store = WordHashes()
+    words = [b"a", b"b" * 1000, b"a"]
+    assert store.of(words).tolist() == store.of(words).tolist() and max(map(len, store.known)) <= LONGEST_KEPT
+
+
 def test_trees_of_all_sizes(library):
     random.seed(1)
     table = bpe.MergeTable(bpe.vocabulary(PATH))

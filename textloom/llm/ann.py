@@ -221,6 +221,8 @@ def nearest_neighbours(vectors: DataFrame, query: str = "vec_id % 20 = 0", work:
     work = work or Workspace(spark, "ann")
     classes, queries, d = entries(vectors, query, work)
     classes, queries = work.save(classes, "classes"), work.save(queries, "queries")
+    for name in ("ids", "named"):
+        work.remove(name)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, largest = classes.agg(F.count("*"), F.max(norm)).first()
     if not n:

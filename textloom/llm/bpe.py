@@ -35,8 +35,8 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 NONE = np.iinfo(np.int64).max
 #: Words of more bytes than this are worked on one by one: few rows don't pay for numpy's calls.
 LONG_WORD = 512
-#: Chunks that a worker remembers, and tree cells it works on at once.
-CACHE_ENTRIES, CELLS = 1_000_000, 1 << 20
+#: Chunks that a worker remembers, characters of the longest of them, and tree cells it works on at once.
+CACHE_ENTRIES, LONGEST_KEPT, CELLS = 1_000_000, 64, 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -277,7 +277,12 @@ class ChunkEncoder:
         for at in range(0, len(new), 100_000):
             self.learn(new[at : at + 100_000])
         get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        for c in new:
+            if len(c) > LONGEST_KEPT:  # so that the store's bytes are bounded as well
+                del known[c]
+                known.pop(c[:-1], None)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text: without a decoder in its configuration, token names joined by spaces."""

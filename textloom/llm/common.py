@@ -44,6 +44,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longer words are hashed anew each time, which bounds the bytes that the store keeps.
+LONGEST_KEPT = 64
+
+
 class WordHashes:
     """64-bit hashes of words, kept up to a bound of entries; past it the store starts anew."""
 
@@ -56,8 +60,11 @@ class WordHashes:
         known, digest = self.known, self.hash
         if len(known) > self.bound:
             known.clear()
+        passing = {}
         for w in set(words).difference(known):
-            known[w] = digest(w)
+            (known if len(w) <= LONGEST_KEPT else passing)[w] = digest(w)
+        if passing:
+            return np.fromiter((known[w] if w in known else passing[w] for w in words), np.uint64, len(words))
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

@@ -298,6 +298,7 @@ def capture_history(spark: SparkSession, path: str, work: Workspace | None = Non
     work = work or Workspace(spark, "captures")
     runs = work.save(read_runs(spark, path), "runs")
     merged = work.save(merge_runs(runs), "merged")
+    work.remove("runs")
     counts = {r["part"]: r["count"] for r in merged.groupBy("part").count().collect()}  # one row for each merging task
     base, total = [], 0
     for part in sorted(counts):
