@@ -28,6 +28,21 @@ def test_read_files(spark, tmp_path):
     assert rows == {"a.TXT": "one\ntwo\nthree�", "b.docx": "first\n\nsecond"}
 
 
+def test_pdf_on_a_stub(monkeypatch):
+    """Texts of all pages, also of empty ones, parted by empty lines."""
+    import sys
+    import types
+
+    library = types.ModuleType("pypdf")
+    page = lambda t: types.SimpleNamespace(extract_text=lambda: t)
+    library.PdfReader = lambda f: types.SimpleNamespace(pages=[page(x) for x in (f.read().decode(), " two ", None)])
+    monkeypatch.setitem(sys.modules, "pypdf", library)
+    assert readers.FORMATS[".pdf"](b" one\n") == "one\n\ntwo\n\n"
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    with pytest.raises(RuntimeError, match="pypdf"):
+        readers.text_of_pdf(b"x")
+
+
 def test_unknown_suffix_raises(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x")
     with pytest.raises(Exception, match="Unsupported file type"):

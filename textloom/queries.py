@@ -280,6 +280,18 @@ def attach_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("label")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
+@query(f"""SELECT coalesce(d.source, 'unknown') AS doc_id, any_value(f.label) AS label, round(avg(n_chars) FILTER (doc_id % 3 <> 0), {DECIMALS}) AS mean_n_chars, round(stddev_pop(n_chars) FILTER (doc_id % 3 <> 0), {DECIMALS}) AS std_n_chars,
+round(avg((n_chars > 1500)::INT) FILTER (doc_id % 3 <> 0), {DECIMALS}) AS mean_long, round(stddev_pop((n_chars > 1500)::INT) FILTER (doc_id % 3 <> 0), {DECIMALS}) AS std_long
+FROM documents d JOIN (SELECT source, lang AS label, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) f ON f.source = d.source AND f.r = 1 GROUP BY 1""")
+def aggregate_mixed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a source as windows of one document: text among the features, and rows without any."""
+    docs = table(spark, sf_dir, "documents")
+    some = F.struct("lang", F.col("n_chars").alias("n_chars"), (F.col("n_chars") > 1500).alias("long"))
+    rows = docs.select(F.col("lang").alias("label"), F.col("doc_id").alias("seq"), F.struct(F.col("source").alias("doc_id")).alias("meta"), F.when(F.col("doc_id") % 3 != 0, some).alias("own"))
+    done = aggregate.aggregate_documents(rows, "own", "doc_id")
+    return done.select("meta.doc_id", "label", *[rounded(f"own.{p}_{n}") for n in ("n_chars", "long") for p in ("mean", "std")])
+
+
 # Logits -------------------------------------------------------------------------------------------------------------
 SEQUENCE, SHARPNESS, PAD = 25, 10.0, 3
 
@@ -313,6 +325,14 @@ def logits_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logits.summarize_logits(positions(spark, sf_dir)).select("seq_id", *map(rounded, logits.SUMMARY), "n_tokens")
 
 
+@query(f"SELECT vec_id // 2 AS seq_id, {', '.join(f'0.0::DOUBLE AS {n}' for n in logits.SUMMARY)}, count(*)::INT AS n_tokens FROM embeddings GROUP BY 1")
+def logits_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of two tokens or fewer have zeros and their length."""
+    pairs = positions(spark, sf_dir).withColumns({"n": F.col("seq_id") * SEQUENCE + F.col("pos"), "attended": F.lit(True)})
+    short = pairs.select(F.floor(F.col("n") / 2).alias("seq_id"), (F.col("n") % 2).cast("int").alias("pos"), "logits", "token", "attended")
+    return logits.summarize_logits(short).select("seq_id", *logits.SUMMARY, "n_tokens")
+
+
 @query(f"""WITH {Q_POSITIONS} SELECT (seq_id // 4)::VARCHAR AS doc_id, {', '.join(f'round(avg({n}), {DECIMALS}) AS mean_{n}, round(stddev_pop({n}), {DECIMALS}) AS std_{n}' for n in sorted([*logits.SUMMARY, 'n_tokens']))} FROM ({Q_SUMMARY}) GROUP BY 1""")
 def logits_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = logits.summarize_logits(positions(spark, sf_dir))
@@ -393,3 +413,29 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_jsonl(windows(spark, sf_dir), work.path("prepared"))
     rows = read_prepared(spark, work.path("prepared"))
     return rows.select("meta.text_id", "meta.window_index", F.try_variant_get("label", "$", "string").alias("label"), tx.text_id(F.col("text")).alias("window_text_id"), F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT sha1(text || chr(10)) AS text_id, count(*) AS n FROM (SELECT replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM benchmark) GROUP BY 1")
+def text_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file for each benchmark item, found again by its suffix."""
+    from textloom.session import Workspace
+    from textloom.sources.readers import read_files
+    from textloom.sources.writers import write_texts
+
+    work = Workspace(spark, "texts")
+    write_texts(table(spark, sf_dir, "benchmark"), work.path("files"), one_each=True)
+    return read_files(spark, work.path("files") + "/*.txt").groupBy(tx.text_id(F.col("text")).alias("text_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{Q_ALL} SELECT text_id, 'doc' AS level, any_value(f.label) AS label, round(avg(heuristics_score), {DECIMALS}) AS heuristics_score, round(avg(n_words), {DECIMALS}) AS n_words
+FROM sc JOIN (SELECT text_id, label FROM ({Q_FIRST}) WHERE r = 1) f USING (text_id) GROUP BY text_id""")
+def document_object_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rows written as one JSON object and read back."""
+    from textloom.session import Workspace
+    from textloom.sources.writers import write_documents
+
+    work = Workspace(spark, "documents")
+    write_documents(heuristics.document_means(heuristics.window_features(windows(spark, sf_dir))), work.path("doc.json"))
+    schema = "docs array<struct<label: string, meta: struct<text_id: string, level: string>, features: struct<n_words: double>, heuristics_score: double>>"
+    rows = spark.read.schema(schema).option("multiLine", "true").json(work.path("doc.json")).select(F.explode("docs").alias("d"))
+    return rows.select("d.meta.text_id", "d.meta.level", "d.label", rounded("d.heuristics_score"), rounded("d.features.n_words"))

@@ -33,9 +33,10 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     flat_meta(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_texts(df: DataFrame, path: str, column: str = "text") -> None:
-    """A folder of files that hold the texts as they are, each with a line feed behind it."""
-    df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+def write_texts(df: DataFrame, path: str, column: str = "text", one_each: bool = False) -> None:
+    """A folder of files that hold the texts as they are, each with a line feed behind it; with one_each a file for each text."""
+    out = df.select(F.col(column).alias("value")).write.mode("overwrite")
+    (out.option("maxRecordsPerFile", 1) if one_each else out).text(path)
 
 
 @contextmanager
