@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,14 @@ def text_slices(column: pa.Array, step: int = STEP_CHARS) -> Iterator[tuple[int,
         end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + step, side="right")))
         yield start, end, [x or "" for x in column.slice(start, end - start).to_pylist()]
         start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the machine what this worker's allocators hold unused: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.llm.common import ASCII_LOWER, mix64, pick, sized, text_slices, word_hashes
@@ -39,6 +39,8 @@ SHINGLE, HALVES, SHARE = 5, 14, 75
 AGREE = 12
 #: Most partners of a centre, sets of a family, or classes of a bucket that a task compares at once; and shingles of a block.
 PARTNERS, BLOCK_SETS, BLOCK_CLASSES, BLOCK_SHINGLES = 64, 128, 256, 200_000
+#: Rows that a task turns into objects at once.
+ROWS_AT_ONCE = 256
 LEAST = np.iinfo(np.int64).min
 #: Odd factors: one for each place in a shingle, one for each minhash.
 PLACES = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -92,7 +94,7 @@ def candidate_joins(classes: DataFrame, work: Workspace) -> DataFrame:
     rank = F.struct("w", "rep")
     left = keys.join(keys.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "t")
     left = work.save(left.select("t", rank.alias("x")), "keys")
-    marks = work.save(classes.select("rep", "n", "marks"), "marks")
+    marks = classes.select("rep", "n", "marks")
     one, two = (marks.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"m_{c}")) for c in "ab")
     agree = F.size(F.filter(F.zip_with("m_a", "m_b", lambda x, y: x == y), lambda e: e))
     fits = 100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")
@@ -123,12 +125,13 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[st
     """Columns of each run of rows with equal keys; the rows come sorted by them."""
     at, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *names)), strict=True):
-            if row[: len(keys)] != at:
-                if held:
-                    yield [list(c) for c in zip(*held, strict=True)]
-                at, held = row[: len(keys)], []
-            held.append(row[len(keys) :])
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            for row in zip(*(batch.column(c).slice(start, ROWS_AT_ONCE).to_pylist() for c in (*keys, *names)), strict=True):
+                if row[: len(keys)] != at:
+                    if held:
+                        yield [list(c) for c in zip(*held, strict=True)]
+                    at, held = row[: len(keys)], []
+                held.append(row[len(keys) :])
     if held:
         yield [list(c) for c in zip(*held, strict=True)]
 
@@ -168,13 +171,16 @@ def bucket_joins(dealt: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, root): the least node of each component, for nodes that have an edge (a, b)."""
-    now = work.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
+    last = f"{name}0"
 
-    def size_of(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def saved(e: DataFrame, to: str) -> tuple[DataFrame, tuple]:
+        """The edges as a table, and their number and a sum of their hashes, observed while they are written."""
+        seen = Observation()
+        e = e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        return work.save(e, to, release=False), (seen.get["n"], seen.get["h"])
 
-    before, last = None, f"{name}0"
-    for step in itertools.count(1):
+    now, before = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), last)
+    for step in itertools.count(1) if before[0] else ():
         for kind in ("large", "small"):
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))) if kind == "large" else now
             least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -184,15 +190,15 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
                 new = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:  # smaller neighbours and the node itself to the least one
                 new = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            now = work.save(new.filter("u <> v").distinct(), f"{name}{step}{kind}", release=False)
+            now, after = saved(new.filter("u <> v").distinct(), f"{name}{step}{kind}")
             work.remove(last)
             last = f"{name}{step}{kind}"
-        after = size_of(now)
-        if after == before or not after[0]:
-            work.remove(f"{name}-least")
-            work.release()
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        if after == before:
+            break
         before = after
+    work.remove(f"{name}-least")
+    work.release()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def alike_sets(one: np.ndarray, two: np.ndarray) -> bool:
@@ -215,10 +221,10 @@ def confirmed_pairs(edges: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own, links = None, [], []
         for batch in batches:
-            for a, part, side, rep, data in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "side", "rep", "set")), strict=True):
+            for a, part, side, rep, data in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "side", "rep")), batch.column("set"), strict=True):
                 if (a, part) != at:
                     at, own = (a, part), []
-                x = np.frombuffer(data, np.uint64)
+                x = np.frombuffer(data.as_buffer(), np.uint64)
                 if side == 0:
                     own.append(x)
                 elif any(alike_sets(x, c) for c in own):
@@ -296,25 +302,28 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     marked = work.save(signatures(own), "signatures")
     grouped = marked.filter("n > 0").groupBy("s1", "s2", "n")
     classes = work.save(grouped.agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("marks").alias("marks")), "classes")
-    joins = work.save(candidate_joins(classes, work), "joins")
+    joins = candidate_joins(classes, work)
     nodes = joins.select(F.col("a").alias("rep")).unionByName(joins.select(F.col("b").alias("rep"))).distinct()
-    nodes = work.save(nodes.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "nodes")
+    nodes = work.save(nodes.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "nodes", release=False)
     wanted = own.join(sized(nodes.select(F.col("rep").alias("doc_id"))), "doc_id").select(F.col("doc_id").alias("rep"), "text")
     sets = work.save(full_sets(wanted), "sets")
     # each class against the one it is most like
     nearest = joins.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).filter("a <> b")
-    near = components(work.save(confirmed_pairs(nearest, sets), "near"), work, "near-part")
-    parts = work.save(nodes.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("part")), "parts")
+    near = components(confirmed_pairs(nearest, sets), work, "near")
+    parts = work.save(nodes.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("part")), "parts", release=False)
     # joins between parts make families, in which all parts are compared
     part_of = lambda c: parts.select(F.col("rep").alias(c), F.col("part").alias(f"p{c}"))
-    across = joins.select("a", "b").join(part_of("a"), "a").join(part_of("b"), "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    families = components(work.save(across.distinct(), "across"), work, "family")
-    members = work.save(parts.join(families.select(F.col("node").alias("part"), F.col("root").alias("family")), "part"), "members")
-    links = work.save(family_links(members, sets), "links")
-    found = links.join(part_of("a"), "a").join(part_of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    whole = components(work.save(found.distinct(), "found"), work, "final").withColumnRenamed("node", "part")
-    roots = work.save(parts.join(whole, "part", "left").select(F.col("rep").alias("node"), F.coalesce("root", "part").alias("root")), "roots")
-    for name in ("joins0", "joins1", "marks", "joins", "nodes", "sets", "near", "parts", "across", "members", "links", "found"):
+    met = lambda e: e.join(part_of("a"), "a").join(part_of("b"), "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+    across = work.save(met(joins.select("a", "b")), "across", release=False)
+    roots = parts.select(F.col("rep").alias("node"), F.col("part").alias("root"))
+    if not across.isEmpty():
+        families = components(across, work, "family")
+        members = work.save(parts.join(families.select(F.col("node").alias("part"), F.col("root").alias("family")), "part"), "members", release=False)
+        links = work.save(family_links(members, sets), "links", release=False)
+        if not links.isEmpty():
+            whole = components(met(links), work, "final").withColumnRenamed("node", "part")
+            roots = work.save(parts.join(whole, "part", "left").select(F.col("rep").alias("node"), F.coalesce("root", "part").alias("root")), "roots", release=False)
+    for name in ("joins0", "joins1", "nodes", "sets", "across", "members", "links"):
         work.remove(name)
     named = classes.select("s1", "s2", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component"))
     # rows with equal doc_id may stand in several classes; all of them are joined by it
