@@ -36,7 +36,7 @@ NONE = np.iinfo(np.int64).max
 #: Words of more bytes than this are worked on one by one: few rows don't pay for numpy's calls.
 LONG_WORD = 512
 #: Chunks that a worker remembers, characters of the longest of them, and tree cells it works on at once.
-CACHE_ENTRIES, LONGEST_KEPT, CELLS = 1_000_000, 64, 1 << 20
+CACHE_ENTRIES, LONGEST_KEPT, CELLS = 500_000, 64, 1 << 20
 
 
 def byte_symbols() -> list[str]:
